@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, license_scan, quality_rules, secret_scan, simhash, url_filter
+from tillroll.llm import bpe, decontaminate, license_scan, quality_rules, secret_scan, simhash, url_filter
 from tillroll.llm.licenses import KNOWN
 
 #: Fixed values of the URL query.
@@ -27,6 +27,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op6_simhash, op8_quality_rules, op9_license_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op5_decontaminate, op6_simhash, op8_quality_rules, op9_license_scan, op10_bpe)}
 
 
 def _quoted(text: str) -> str:
@@ -89,6 +94,23 @@ def _urls_sql() -> str:
     select page_id, host, path, rule, coalesce(r_verdict, 'allow') as verdict from split left join (select * from fits where k = 1) using (page_id)"""
 
 
+def _overlaps_sql() -> str:
+    def words(x: str) -> str:
+        return rf"regexp_extract_all(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+    return f"""
+    with d as (select doc_id, {words("text")} as w from documents),
+    b as (select item_id, w, least(len(w), 10) as span from (select item_id, {words("text")} as w from benchmark) where len(w) > 0),
+    wins as (select distinct item_id, span, w[i:i + span - 1] as g from (select item_id, w, span, unnest(range(1, len(w) - span + 2)) as i from b)),
+    spans as (select distinct span from b),
+    grams as (select doc_id, span, i, w[i:i + span - 1] as g from (select doc_id, w, span, unnest(range(1, len(w) - span + 2)) as i from d, spans where len(w) >= span)),
+    hits as (select doc_id, i, h.span, item_id from grams h join wins using (span, g)),
+    n_hit as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + span)) as p from hits) group by doc_id),
+    found as (select doc_id, count(distinct item_id) as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from hits group by doc_id)
+    select d.doc_id, len(w) as n_words, coalesce(n_hit.n, 0) as n_hit, coalesce(found.n, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit.n, 0) > 0 as contaminated
+    from d left join n_hit using (doc_id) left join found using (doc_id)"""
+
+
 def _quality_rules_sql() -> str:
     word, blank = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
     furniture = " or ".join(f"contains(lower(line), {_quoted(p)})" for p in quality_rules.BOILERPLATE)
@@ -127,4 +149,4 @@ def _licenses_sql() -> str:
     from units left join known using (digest) group by doc_id"""
 
 
-ORACLES = {"op1_secret_scan": _secrets_sql(), "op2_url_filter": _urls_sql(), "op8_quality_rules": _quality_rules_sql(), "op9_license_scan": _licenses_sql()}
+ORACLES = {"op1_secret_scan": _secrets_sql(), "op2_url_filter": _urls_sql(), "op5_decontaminate": _overlaps_sql(), "op8_quality_rules": _quality_rules_sql(), "op9_license_scan": _licenses_sql()}
