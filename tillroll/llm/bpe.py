@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer
 
 #: The White_Space characters, as the split pattern's \s has them.
@@ -308,7 +308,7 @@ def encode_digests(df: DataFrame, path: str, keep: list[str], text_col: str = "t
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the token ids of each text as an array column."""
-    schema = StructType([f for f in df.schema if f.name != ids_col]).add(ids_col, "array<int>")
+    schema = StructType([f for f in df.schema if f.name != ids_col]).add(ids_col, ArrayType(IntegerType()))
     names = [n for n in schema.names if n != ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
