@@ -267,14 +267,16 @@ class Decoder:
         self.first = True
 
 
-def digests(codec: Codec, decoder: Decoder, text: str | None) -> tuple[int, str, str]:
-    """Number of tokens, SHA-256 of the packed ids, SHA-256 of the decoded text; nothing of the whole is kept."""
+def digests(codec: Codec, decoder: Decoder, text: str | None, ids: list[bytes] | None = None) -> tuple[int, str, str]:
+    """Number of tokens, SHA-256 of the packed ids, SHA-256 of the decoded text; nothing of the whole is kept but, if asked for, the ids."""
     n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
     decoder.reset()
     for piece in codec.encode(text):
         n += len(piece) // 4
         of_ids.update(piece)
         of_text.update(decoder.feed(piece).encode())
+        if ids is not None:
+            ids.append(piece)
     of_text.update(decoder.feed(b"", True).encode())
     return n, of_ids.hexdigest(), of_text.hexdigest()
 
@@ -289,23 +291,35 @@ def load(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode_digests(df: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep``, n_tokens, ids_sha256 and decoded_sha256 of each row's whole text."""
+def encode_digests(df: DataFrame, path: str, keep: list[str], text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Columns ``keep``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of each row's whole text."""
     kept = df.select(*keep, df[text_col].alias("_text"))
     schema = StructType([f for f in kept.schema if f.name != "_text"]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if with_ids:
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path)
         decoder = codec.decoder()
         for batch in batches:
-            found = [digests(codec, decoder, x.as_py()) for x in batch.column("_text")]
+            found, ids = [], []
+            for x in batch.column("_text"):
+                own = [] if with_ids else None
+                found.append(digests(codec, decoder, x.as_py(), own))
+                if with_ids:
+                    ids.append(np.frombuffer(b"".join(own), "<i4"))
             made = zip(*found, strict=True) if found else ((), (), ())
             cols = [batch.column(c) for c in keep] + [pa.array(list(x), t) for x, t in zip(made, (pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            yield pa.RecordBatch.from_arrays([*cols, *([_lists(ids)] if with_ids else [])], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)]).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, "i4")))
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the token ids of each text as an array column."""
     schema = StructType([f for f in df.schema if f.name != ids_col]).add(ids_col, ArrayType(IntegerType()))
@@ -315,9 +329,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         codec = load(path)
         for batch in batches:
             ids = [np.frombuffer(b"".join(codec.encode(x.as_py())), "<i4") for x in batch.column(text_col)]
-            ends = np.cumsum([0, *map(len, ids)]).astype("i4")
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, "i4"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.ListArray.from_arrays(pa.array(ends), values)], names=[*names, ids_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), _lists(ids)], names=[*names, ids_col])
 
     return df.mapInArrow(run, schema)
 

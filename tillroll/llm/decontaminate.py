@@ -118,3 +118,10 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     if not small:
         out = out.unionByName(other.select(*names, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs without a hit.  Only ids and digests of hit texts are shuffled to them."""
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    hit = find_overlaps(docs.withColumn("_digest", digest), items, id_col, text_col, keep=[id_col, "_digest"], **how).where("contaminated").select(F.col(id_col).alias("_i"), F.col("_digest").alias("_d"))
+    return docs.withColumn("_digest", digest).join(hit, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d")), "left_anti").drop("_digest")

@@ -119,3 +119,18 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     cut = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, cut).otherwise(text)
+
+
+def redact_secrets(df: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mark: str = "[SECRET]", **limits) -> DataFrame:
+    """df with the spans that ``scan_secrets`` reports replaced by ``mark``.
+
+    Rows are staged once.  Those without candidates go straight on; only the others meet their
+    spans in a shuffle.
+    """
+    cols = df.columns
+    rid = "_row"
+    rows = staged(candidates(df, text_col).withColumn(rid, F.monotonically_increasing_id()).withColumn("_some", F.size("_hits") > 0).drop("_hits"), "redact")
+    some = rows.where("_some")
+    found = scan_secrets(some, text_col, repo_col, owner_col, [rid], **limits)
+    done = some.join(found.select(rid, "spans"), rid).withColumn(text_col, redact(F.col(text_col), F.col("spans")))
+    return rows.where("not _some").select(*cols).unionByName(done.select(*cols))

@@ -77,26 +77,27 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return beside.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """Per row: the columns ``keep`` (the id if None), ``fp`` and ``component_id``, the least id that links reach."""
-    keep = [id_col] if keep is None else keep
-    rows = staged(with_fingerprints(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))), ["_id", *(f"_k{i}" for i in range(len(keep)))], "_t", shingle), "prints")
+def _named(df: DataFrame, id_col: str, text_col: str, keep: list[str], radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The rows, staged as (_rid, _id, _k0.., fp), and (fp, root, component_id) of each fingerprint."""
+    held = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
+    prints = with_fingerprints(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *held), ["_id", *(f"_k{i}" for i in range(len(keep)))], "_t", shingle)
+    rows = staged(prints.withColumn("_rid", F.monotonically_increasing_id()), "prints")
     distinct = rows.groupBy("fp").agg(F.min("_id").alias("least"))
     linked = components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return rows, rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """Per row: the columns ``keep`` (the id if None), ``fp`` and ``component_id``, the least id that links reach."""
+    keep = [id_col] if keep is None else keep
+    rows, named = _named(df, id_col, text_col, keep, radius, shingle)
     return rows.join(named, "fp").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "fp", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of df of which each component keeps one: that with the least id, then the least text.
-
-    Rows are matched by id and, among repeated ids, by a digest of the text; exact repeats of a
-    row keep one.
-    """
-    key = F.xxhash64(F.col(text_col))
-    found = near_duplicates(df.withColumn("_key", key), id_col, text_col, [id_col, "_key"], radius, shingle)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.coalesce("_key", F.lit(0)).alias("k"))).alias("x"))
-    chosen = first.select(F.col("x.i").alias("_i"), F.col("x.k").alias("_k"))
-    kept = df.withColumn("_key", F.coalesce(key, F.lit(0))).join(chosen, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi").drop("_key")
-    return kept.dropDuplicates([id_col, text_col])
+    """The rows of df, of each component only the one with the least id; of repeats of that id, any one."""
+    rows, named = _named(df, id_col, text_col, df.columns, radius, shingle)
+    order = F.struct(F.col("_id").isNull(), "_id", "_rid")
+    first = rows.select("_rid", "_id", "fp").join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order)["_rid"].alias("_rid"))
+    return rows.join(first, "_rid", "left_semi").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(df.columns)))
