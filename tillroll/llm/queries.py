@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, decontaminate, license_scan, quality_gam, quality_rules, secret_scan, simhash, url_filter
+from tillroll.llm import bpe, decontaminate, license_scan, quality_gam, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
 from tillroll.llm.licenses import KNOWN
 
 #: Fixed values of the URL query.
@@ -41,6 +41,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
@@ -56,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op4_quality_gam, op5_decontaminate, op6_simhash, op8_quality_rules, op9_license_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op4_quality_gam, op5_decontaminate, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_license_scan, op10_bpe)}
 
 
 def _quoted(text: str) -> str:
