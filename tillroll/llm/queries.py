@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, decontaminate, license_scan, quality_gam, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
+from tillroll.llm import bpe, decontaminate, license_scan, quality_gam, quality_rules, secret_scan, simhash, suffix_dedup, url_filter, warc
 from tillroll.llm.licenses import KNOWN
 
 #: Fixed values of the URL query.
@@ -27,6 +27,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select(F.col("source").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op4_quality_gam, op5_decontaminate, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_license_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op3_warc, op4_quality_gam, op5_decontaminate, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_license_scan, op10_bpe)}
 
 
 def _quoted(text: str) -> str:
@@ -103,6 +107,14 @@ def _urls_sql() -> str:
     select page_id, host, path, rule, coalesce(r_verdict, 'allow') as verdict from split left join (select * from fits where k = 1) using (page_id)"""
 
 
+def _warc_sql() -> str:
+    return """
+    with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+    r as (select *, min(page_id) over (partition by payload_digest) as first from p)
+    select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
+           case when payload_bytes >= 100 and first < page_id then first end as refers_to, true as verified from r"""
+
+
 def _overlaps_sql() -> str:
     def words(x: str) -> str:
         return rf"regexp_extract_all(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -158,4 +170,4 @@ def _licenses_sql() -> str:
     from units left join known using (digest) group by doc_id"""
 
 
-ORACLES = {"op1_secret_scan": _secrets_sql(), "op2_url_filter": _urls_sql(), "op5_decontaminate": _overlaps_sql(), "op8_quality_rules": _quality_rules_sql(), "op9_license_scan": _licenses_sql()}
+ORACLES = {"op1_secret_scan": _secrets_sql(), "op2_url_filter": _urls_sql(), "op3_warc": _warc_sql(), "op5_decontaminate": _overlaps_sql(), "op8_quality_rules": _quality_rules_sql(), "op9_license_scan": _licenses_sql()}
