@@ -132,5 +132,5 @@ def redact_secrets(df: DataFrame, text_col: str = "text", repo_col: str = "doc_i
     rows = staged(candidates(df, text_col).withColumn(rid, F.monotonically_increasing_id()).withColumn("_some", F.size("_hits") > 0).drop("_hits"), "redact")
     some = rows.where("_some")
     found = scan_secrets(some, text_col, repo_col, owner_col, [rid], **limits)
-    done = some.join(found.select(rid, "spans"), rid).withColumn(text_col, redact(F.col(text_col), F.col("spans")))
+    done = some.join(found.select(rid, F.col("spans").alias("_spans")), rid).withColumn(text_col, redact(F.col(text_col), F.col("_spans")))
     return rows.where("not _some").select(*cols).unionByName(done.select(*cols))
