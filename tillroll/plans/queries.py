@@ -248,3 +248,33 @@ QUERIES = {
     f.__name__: f
     for f in (receipt_render, totals_by_nation, labeled_amounts, inferred_total, dates_times, currency_vote, merchant_payment_number, line_items_exploded, item_totals, amount_tokens, amount_parse, line_stats, dominant_script, script_windows, document_languages, char_error_rate, fuzzy_names, words_to_lines, escalate_select, quality_gate, error_codes, reading_order_rows, result_json, case_plan, accuracy_breakdown, accuracy_overall, accuracy_grouping_sets, score_cases, backend_codes, matrix_filter, matrix_sets, top_languages)
 }
+
+
+# ---- pictures and simulated recognition ----
+
+
+def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages drawn, degraded in all ways, prepared and judged."""
+    from tillroll.images.stage import prepare, sample_images
+
+    seeds = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("seed"))
+    bad = spark.createDataFrame([(d,) for d in scoring.DEGRADATIONS], "degradation string")
+    cases = sample_images(seeds).crossJoin(bad)  # both sides are short lists
+    return prepare(cases, ["seed", "degradation"]).select("seed", "degradation", "mode", F.array_join("steps", ",").alias("steps"), "width", "height", "needs_accurate_mode")
+
+
+def simulated_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts from seeds, misread, extracted and scored against their truth."""
+    from tillroll.operators import synth
+
+    langs = F.array(*map(F.lit, sorted(synth.BANKS)))
+    cases = table(spark, sf_dir, "customer").select(F.get(langs, (F.col("c_custkey") % len(synth.BANKS)).cast("int")).alias("language"), F.col("c_custkey").alias("seed"))
+    truth = synth.generate(cases)
+    read = extraction.extract_fields(synth.recognize(truth))
+    hyp = read.select(F.col("seed").alias("case_id"), F.array_join("lines", "\n").alias("text"), F.col("fields.merchant.value").alias("merchant"), F.col("fields.date.value").alias("date"), F.col("fields.total.num").alias("total"), F.lit(None).cast("string").alias("error"))
+    scored = scoring.score_cases(hyp, truth.select(F.col("seed").alias("case_id"), F.array_join("lines", "\n").alias("text"), "merchant", "date", "total"))
+    full = scored.join(cases.select(F.col("seed").alias("case_id"), "language"), "case_id").withColumns({"degradation": F.lit("noisy"), "backend": F.lit("noisy"), "elapsed_ms": F.lit(0.0)})
+    return scoring.breakdown(full)
+
+
+QUERIES |= {f.__name__: f for f in (image_quality, simulated_accuracy)}
