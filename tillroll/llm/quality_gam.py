@@ -176,7 +176,7 @@ def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     known = known.groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     got = rows.join(sample, F.col(id_col) == F.col("_id")).select("x", "_y").limit(4 * max_rows).toPandas()
-    return fit(np.array(got["x"].tolist(), float).reshape(len(got), -1), got["_y"].to_numpy(int), **how)
+    return fit(np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES)), got["_y"].to_numpy(int), **how)
 
 
 def score_rows(rows: DataFrame, model: Gam) -> DataFrame:
