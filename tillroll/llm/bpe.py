@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 
 #: The White_Space characters, as the split pattern's \s has them.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-CACHE_ENTRIES, CACHE_CHARS, PIECE_CHARS, PAIR_ENTRIES = 300_000, 64, 1 << 18, 1 << 20
+CACHE_ENTRIES, WORD_ENTRIES, PAIR_ENTRIES, CACHE_CHARS, PIECE_CHARS = 120_000, 250_000, 250_000, 64, 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -171,7 +171,7 @@ class Codec:
         self.surface = {i: t for t, i in (v | added).items()}
         self.byte_of = {s: b for b, s in enumerate(signs)}
         self.cache = _Cache(lambda key: b"".join(self._stretch(key)))
-        self.words = _Cache(self._word, 800_000)
+        self.words = _Cache(self._word, WORD_ENTRIES)
         # Which characters are letters, and their lower case, differ between versions of Unicode;
         # beyond the Latin blocks, which no version changes, the library's own tables decide.
         rules = Tokenizer.from_file(path)
