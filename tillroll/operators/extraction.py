@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,19 @@ def _in_order(f: Column, order: Column | None) -> Column:
     return f.withField("evidence", F.transform(f["evidence"], lambda i: F.get(order, i)))
 
 
+@lru_cache(maxsize=4)
+def _columns(application: str) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """The extractors over column _lines; building them takes longer than planning them, so it is done once a session."""
+    n = F.col("_lines")
+    sums = {"_subtotal": amounts.subtotal(n), "_tax": amounts.tax(n), "_discounts": amounts.discount(n), "_total": amounts.total(n)}
+    found = {
+        "merchant": labels.merchant(n), "merchant_address": missing(), "date": dates.date(n), "time": dates.time_of_day(n), "currency": labels.currency(n),
+        "subtotal": F.col("_subtotal"), "tax": F.col("_tax"), "discounts": F.col("_discounts"), "total": amounts.with_inferred_total(F.col("_total"), F.col("_subtotal"), F.col("_tax"), F.col("_discounts")),
+        "payment_method": labels.payment_method(n), "receipt_number": labels.receipt_number(n),
+    }
+    return sums, found, items.line_items(n)
+
+
 def extract_fields(df: DataFrame, lines_col: str = "lines", out_col: str = "fields") -> DataFrame:
     """Add a struct of all fields and ``line_items`` from an array of texts, or of structs (text, x, y, width, height, optional rtl).
 
@@ -34,14 +49,8 @@ def extract_fields(df: DataFrame, lines_col: str = "lines", out_col: str = "fiel
         df = df.withColumn("_lines", numbered(F.transform(order, lambda i: F.get(lines, i)["text"])))
     else:
         df = df.withColumn("_lines", numbered(lines))
-    n = F.col("_lines")
-    df = df.withColumns({"_subtotal": amounts.subtotal(n), "_tax": amounts.tax(n), "_discounts": amounts.discount(n), "_total": amounts.total(n)})
-    found = {
-        "merchant": labels.merchant(n), "merchant_address": missing(), "date": dates.date(n), "time": dates.time_of_day(n), "currency": labels.currency(n),
-        "subtotal": F.col("_subtotal"), "tax": F.col("_tax"), "discounts": F.col("_discounts"), "total": amounts.with_inferred_total(F.col("_total"), F.col("_subtotal"), F.col("_tax"), F.col("_discounts")),
-        "payment_method": labels.payment_method(n), "receipt_number": labels.receipt_number(n),
-    }
-    rows = items.line_items(n)
+    sums, found, rows = _columns(df.sparkSession.sparkContext.applicationId)
+    df = df.withColumns(sums)
     if order is not None:
         rows = F.transform(rows, lambda r: r.withField("line", F.get(order, r["line"])))
     # Order matters to nested pruning: each field stays a plain struct member.
