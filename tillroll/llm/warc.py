@@ -235,6 +235,8 @@ def with_revisits(records: DataFrame, min_bytes: int = 100) -> DataFrame:
     twice = narrow.groupBy("payload_digest").agg(F.count("*").alias("c"), F.min(order).alias("o")).where("c > 1").select("payload_digest", F.col("o.rid").alias("r_rid"))
     reps = twice.join(narrow.select(F.col("rid").alias("r_rid"), F.struct("source", "uri", "date", "warc_id").alias("rep")), "r_rid")
     again = narrow.select("rid", "payload_digest").join(reps, "payload_digest").where("rid != r_rid").select("rid", "rep")
+    # Staged, so that its size is known before the join is planned: only if it is small is it broadcast and no payload shuffled.
+    again = staged(again, "revisits")
     return records.join(again, "rid", "left").drop("rid")
 
 
