@@ -38,7 +38,7 @@ from tillroll.llm._common import parallel, release, staged, staging_path
 
 LENGTH, GRAM = 200, 32
 #: A key's distinct segments up to this size are sorted in one block; blocks are no larger.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -272,14 +272,19 @@ def _window_rows(length: int):
     """From (key, content, c, bytes) to (key, content, first, c, lo, hi), the digest of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "content", "first", "c", "lo", "hi"]
+        out: list[list] = [[] for _ in names]
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
             for key, content, c, raw in zip(*(batch.column(n).to_pylist() for n in ("key", "content", "c", "bytes")), strict=True):
                 for first in range(len(raw) - length + 1):
                     d = hashlib.blake2b(raw[first : first + length], digest_size=16).digest()
                     for column, v in zip(out, (key, content, first, c, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["key", "content", "first", "c", "lo", "hi"])
+                if len(out[0]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=names)
+                    out = [[] for _ in names]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=names)
 
     return run
 
