@@ -5,7 +5,8 @@ columns of ``documents``.  The driver writes what a stage returns as Parquet and
 as the next stage's docs; ``run`` does the same in the shared folder.
 
 1. quality: drops rows that the classifier scores below 0.3;
-2. near_duplicates: of each SimHash component keeps the row with the least doc_id;
+2. near_duplicates: of each component of texts with a five-word Jaccard similarity of 0.8 or more
+   keeps the row with the least doc_id;
 3. decontaminate: drops rows that hold a span of a benchmark item;
 4. secrets: replaces secrets in the texts, and sets n_chars anew;
 5. encode: token ids of each text.
@@ -17,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, decontaminate, quality_gam, secret_scan, simhash
+from tillroll.llm import bpe, decontaminate, near_text, quality_gam, secret_scan
 from tillroll.llm._common import staged
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_text.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", benchmark_decontamination), ("secrets", secrets), ("encode", encode)]
-#: The classifier and the fingerprints are beyond SQL; tests hold the stages against brute force.
+#: The classifier and the minima are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
