@@ -61,6 +61,8 @@ ORACLES = {
         round(((split_part(r, ' ', 1) != split_part(h, ' ', 1))::int + (split_part(r, ' ', 2) != split_part(h, ' ', 2))::int) / 2.0::double, 6) as wer from j""",
     "fuzzy_names": """with n as (select p_name as name, count(*) as n, split_part(p_name, ' ', 1) as block from part group by 1)
         select a.name, count(*) as n_near, sum(b.n)::bigint as n_rows from n a join n b using (block) where a.name != b.name and 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::double >= 0.8 group by 1""",
+    "fuzzy_names_whole": """with n as (select p_name as name, count(*) as n from part group by 1)
+        select a.name, count(b.name) as n_near, coalesce(sum(b.n), 0)::bigint as n_rows from n a left join n b on a.name != b.name and 1 - levenshtein(lower(trim(a.name)), lower(trim(b.name))) / greatest(length(trim(a.name)), length(trim(b.name)), 1)::double >= 0.8 group by 1""",
     "words_to_lines": r"""with w as (select item_id, generate_subscripts(ws, 1) - 1 as k, unnest(ws) as t from (select item_id, regexp_split_to_array(text, '[ \n]') as ws from benchmark)), v as (select *, greatest((length(t) * 37) % 101 - 1, 0) / 100.0::double as c from w where trim(t) != '')
         select item_id as doc_id, (k // 8)::int as line_num, string_agg(t, ' ' order by k) as text, min(k % 8 * 60)::int as x, (k // 8 * 30)::int as y, (max(k % 8 * 60 + length(t) * 7) - min(k % 8 * 60))::int as width, 20 as height,
         round(avg(c), 6) as confidence, case when avg(c) >= 0.4 then 'ok' else 'uncertain' end as status, count(*) as n_words from v group by item_id, k // 24, k // 8""",

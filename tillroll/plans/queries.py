@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tillroll.functions import amounts, dates, labels, metrics
 from tillroll.functions.base import numbered
-from tillroll.operators import envelope, extraction, matrix, recognition, scoring, tagging
+from tillroll.operators import envelope, extraction, fuzzy, matrix, recognition, scoring, tagging
 from tillroll.operators.layout import reading_order
 from tillroll.operators.receipts import date_in_form, order_items, receipts, table
 
@@ -132,13 +132,24 @@ def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names, joined fuzzily within blocks of an equal first word; copies count, they aren't paired."""
+    """Distinct part names, joined fuzzily within blocks of an equal first word; copies count, they aren't paired.
+
+    The block is part of this query's SQL and loses pairs; ``fuzzy_names_whole`` has all.
+    """
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n")).withColumn("block", F.split("name", " ")[0])
     other = names.select("block", F.col("name").alias("other"), F.col("n").alias("m"))
     near = names.join(other, "block").where((F.col("name") != F.col("other")) & metrics.fuzzy_match(F.col("name"), F.col("other")))
     return near.groupBy("name").agg(F.count("*").alias("n_near"), F.sum("m").alias("n_rows"))
 
 
+def fuzzy_names_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct part name with the number of its similar names, and of their rows."""
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n"))
+    near = fuzzy.similar_pairs(names, "name").join(names.select(F.col("name").alias("b"), F.col("n").alias("m")), "b")
+    linked = near.groupBy(F.col("a").alias("name")).agg(F.count("*").alias("n_near"), F.sum("m").alias("n_rows"))
+    return names.select("name").join(linked, "name", "left").select("name", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
 # ---- recognition ----
 
 
@@ -246,7 +257,7 @@ def top_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (receipt_render, totals_by_nation, labeled_amounts, inferred_total, dates_times, currency_vote, merchant_payment_number, line_items_exploded, item_totals, amount_tokens, amount_parse, line_stats, dominant_script, script_windows, document_languages, char_error_rate, fuzzy_names, words_to_lines, escalate_select, quality_gate, error_codes, reading_order_rows, result_json, case_plan, accuracy_breakdown, accuracy_overall, accuracy_grouping_sets, score_cases, backend_codes, matrix_filter, matrix_sets, top_languages)
+    for f in (receipt_render, totals_by_nation, labeled_amounts, inferred_total, dates_times, currency_vote, merchant_payment_number, line_items_exploded, item_totals, amount_tokens, amount_parse, line_stats, dominant_script, script_windows, document_languages, char_error_rate, fuzzy_names, fuzzy_names_whole, words_to_lines, escalate_select, quality_gate, error_codes, reading_order_rows, result_json, case_plan, accuracy_breakdown, accuracy_overall, accuracy_grouping_sets, score_cases, backend_codes, matrix_filter, matrix_sets, top_languages)
 }
 
 
