@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tillroll.functions import metrics
-from tillroll.operators import fuzzy
+from tillroll.operators import fuzzy, tagging
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +32,13 @@ def test_fuzzy_names_equal_brute_force(spark):
 def test_every_name_has_a_row_and_other_first_words_link(spark):
     got = {r.name: r.n_near for r in entry.queries()["fuzzy_names_whole"](spark, SF).collect()}
     assert len(got) == 62 and sum(got.values()) == 20 and got["old anvil"] == got["cold anvil"] == 1
+
+
+def test_the_language_model_learns_from_all_documents(spark, monkeypatch):
+    seen, train = [], tagging.train
+    monkeypatch.setattr(tagging, "train", lambda docs, **k: seen.append(docs.count()) or train(docs, **k))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {tuple(r) for r in entry.queries()["document_languages"](spark, SF).collect()}
+    lines = spark.read.parquet(f"{SF}/conversations.parquet")
+    want = tagging.document_languages(tagging.rank_lines(lines, train(docs), ["conv_id", "turn"]), "conv_id")
+    assert seen == [docs.count()] and got == {tuple(r) for r in want.collect()}

@@ -117,8 +117,7 @@ def script_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    model = tagging.train(d.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0))
+    model = tagging.train(table(spark, sf_dir, "documents"))
     lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     ranked = tagging.rank_lines(lines, model, ["conv_id", "turn"])
     return tagging.document_languages(ranked, "conv_id")
