@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import bpe, decontaminate, license_scan, quality_gam, quality_rules, secret_scan, simhash, suffix_dedup, url_filter, warc
-from tillroll.llm.licenses import KNOWN
+from tillroll.llm.licenses import KNOWN, notices
 
 #: Fixed values of the URL query.
 URL_RULES = [url_filter.Rule.parse(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
@@ -76,20 +76,25 @@ def _secrets_sql() -> str:
     def spans(kind: str, rank: int) -> str:
         _, pattern, group, least, base = secret_scan.KINDS[rank]
         p = _quoted(pattern.replace(r"(?=[PpSsTtAa])", ""))
+        least = f"length(value) >= {least}"
+        if kind in secret_scan.MIXED:
+            least += f" and length(regexp_replace(value, '[^0-9]', '', 'g')) >= {secret_scan.DIGITS} and regexp_matches(value, '[A-Za-z]')"
+        if kind in secret_scan.PLAIN_HEX:
+            least += " and not regexp_full_match(value, '[0-9a-f]+')"
         return f"""
         select doc_id, source, {rank} as rank, '{kind}' as kind, {str(base).lower()} as base, value,
                (list_sum(gaps[1:k]) + coalesce(list_sum(ns[1:k - 1]), 0))::int as start, (list_sum(gaps[1:k]) + list_sum(ns[1:k]))::int as stop
         from (select doc_id, source, unnest(range(1, len(ms) + 1)) as k, unnest(vs) as value, list_transform(ms, lambda x: length(x)) as ns, list_transform(gs, lambda x: length(x)) as gaps
               from (select doc_id, source, regexp_extract_all(coalesce(text, ''), {p}) as ms, regexp_extract_all(coalesce(text, ''), {p}, {group}) as vs, string_split_regex(coalesce(text, ''), {p}) as gs
                     from documents where regexp_matches(coalesce(text, ''), {p})))
-        where length(value) >= {least}"""
+        where {least}"""
 
     each = " union all ".join(spans(k[0], i) for i, k in enumerate(secret_scan.KINDS))
     listed = lambda cond: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank, stop) filter ({cond}), '')"
     return f"""
     with hits as ({each}),
-    stats as (select value, count(distinct coalesce(source, '')) as n_owners, count(distinct doc_id) as n_repos from hits group by value),
-    judged as (select h.*, n_owners <= 2 and n_repos <= 50 as live from hits h join stats using (value))
+    stats as (select value, count(distinct coalesce(source, '')) as n_owners from hits group by value),
+    judged as (select h.*, n_owners <= 2 as live from hits h join stats using (value))
     select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
            sha256({listed("base")}) as base_sha256, {listed("base or live")} as spans,
            count(*) filter (live) as n_live, count(*) filter (not live) as n_copied
@@ -155,19 +160,25 @@ def _quality_rules_sql() -> str:
 
 def _licenses_sql() -> str:
     def canonical(x: str) -> str:
-        x = f"regexp_replace(lower({x}), {_quoted(license_scan.COPYRIGHT_LINE)}, '', 'g')"
+        cut = x = f"lower({x})"
+        for pattern, by in license_scan.CUTS:
+            cut = f"regexp_replace({cut}, {_quoted(pattern)}, {_quoted(by.format(chr(92) + '1'))}, 'g')"
+        x = f"case when regexp_matches({x}, {_quoted(license_scan.HAS_NOTICE)}) then {cut} else {x} end"
         for a, b in license_scan.SPELLINGS:
             x = f"replace({x}, {_quoted(a)}, {_quoted(b)})"
         return rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
-    known = ", ".join(f"({_quoted(n)}, {_quoted(b)})" for n, b in KNOWN)
+    def digests(listed: list[tuple[str, str]]) -> str:
+        values = ", ".join(f"({_quoted(n)}, {_quoted(b)})" for n, b in listed)
+        return f"(select sha256({canonical('body')}) as digest, min(license) as license from (values {values}) as k(license, body) group by 1)"
+
     return f"""
-    with known as (select sha256({canonical("body")}) as digest, min(license) as license from (values {known}) as k(license, body) group by 1),
-    units as (select doc_id, 0 as pos, sha256({canonical("coalesce(text, '')")}) as digest from documents
-              union all select doc_id, 1, sha256({canonical("line")}) from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, {_quoted(license_scan.SPEAKS)}))
-    select doc_id, max(digest) filter (pos = 0) as text_digest, max(license) filter (pos = 0) as whole_license,
-           string_agg(distinct license, ',' order by license) as licenses, count(license) filter (pos = 1) as n_lines
-    from units left join known using (digest) group by doc_id"""
+    with known as {digests(KNOWN)}, listed as {digests(notices())},
+    whole as (select doc_id, digest as text_digest, license as whole_license from (select doc_id, sha256({canonical("coalesce(text, '')")}) as digest from documents) left join known using (digest)),
+    lines as (select doc_id, license from (select doc_id, sha256({canonical("line")}) as digest from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, {_quoted(license_scan.SPEAKS)})) join listed using (digest)),
+    found as (select doc_id, string_agg(distinct license, ',' order by license) as notice_licenses, count(*) as n_lines from lines group by doc_id),
+    every as (select doc_id, string_agg(distinct license, ',' order by license) as licenses from (select doc_id, license from lines union all select doc_id, whole_license from whole where whole_license is not null) group by doc_id)
+    select doc_id, text_digest, whole_license, notice_licenses, licenses, coalesce(n_lines, 0) as n_lines from whole left join found using (doc_id) left join every using (doc_id)"""
 
 
 ORACLES = {"op1_secret_scan": _secrets_sql(), "op2_url_filter": _urls_sql(), "op3_warc": _warc_sql(), "op5_decontaminate": _overlaps_sql(), "op8_quality_rules": _quality_rules_sql(), "op9_license_scan": _licenses_sql()}

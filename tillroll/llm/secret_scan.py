@@ -1,29 +1,37 @@
-"""Secret scan with corpus-wide ownership frequency.
+"""Secret scan with corpus-wide ownership frequency, in SQL functions only.
 
-Each text is scanned for three base kinds and for further credential formats.  Candidates are
-hashed and counted over the whole corpus by distinct repositories and distinct owners.  A
-candidate held by at most ``max_owners`` owners and ``max_repos`` repositories is owner-specific
-and live-looking; one that more of them hold is a widely copied example.  Base spans always
-stay; spans of the further kinds are added where they are live-looking.
+Each text is scanned for three base kinds and, broadly, for whatever else may be a credential:
+public token formats, connection strings, bearer headers, values beside credential words, quoted
+and bare random-looking strings.  Candidates are hashed and counted over the whole corpus by
+distinct repositories and distinct owners.  A candidate held by at most ``max_owners`` owners is
+owner-specific and live-looking, in however many of their repositories it lies; one that more
+owners hold is a widely copied example.  Base spans always stay; spans of the further kinds are
+added where they are live-looking.
 
 Positions are found natively: what ``split`` leaves between matches and the matches
-themselves, alternately, add up to the text, so running lengths give code-point offsets.
-
-A null text is empty and has no spans.  Rows are told apart by an id of their own, so null and
-repeated document ids are fine, and a repeated row is scanned again.  Null owners count as one
-owner, null repositories as one repository.  Extra columns are kept out of the result unless
-asked for.
+themselves, alternately, add up to the text, so running sums of their lengths give code-point
+offsets.  The sums are windows over rows of (row, kind), and spans are cut from blocks of the
+text, so both grow with the text and its hits, not with their product.
+
+A null text is empty and has no spans.  A very long text is scanned whole, and its hits are
+rows.  Rows are told apart by an id of their own, so null and repeated document ids are fine,
+and a repeated row is scanned again.  Null owners count as one owner, null repositories as one
+repository.  Ties: spans with one start are listed in the order of KINDS; copies of a candidate
+within a text are spans of their own and count once.  An empty table gives an empty result.
+Extra columns, whatever their names, are kept out of the result unless asked for;
+``redact_secrets`` keeps them all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tillroll.llm._common import staged
+from tillroll.llm._common import by_position, position, staged
 
 #: Kind, pattern, group that holds the secret, least characters of it, counted as base.
-#: The further kinds are public token formats.
+#: The further kinds are public token formats and general shapes of credentials.
 KINDS = (
     ("assign", r"""(?=[PpSsTtAa])((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     ("access", r"AKIA[A-Z0-9]+", 0, 18, True),
@@ -33,38 +41,57 @@ KINDS = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29, False),
     ("cloud", r"AIza[A-Za-z0-9_-]{35}", 0, 39, False),
     ("pay", r"[sr]k_live_[A-Za-z0-9]{16,}", 0, 24, False),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+", 0, 40, False),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\r?\n[A-Za-z0-9+/=\r\n]+-----END [A-Z ]*PRIVATE KEY-----", 0, 40, False),
+    ("login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9_.%+-]{1,64}:([^\x00-\x20:/@\"'<>]{4,128})@[A-Za-z0-9.-]+", 1, 4, False),
+    ("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{20,})", 1, 20, False),
+    ("beside", r"""(?i:pwd|pass|credentials?|auth|signature|access.key|private.key|client.key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{12,})""", 1, 12, False),
+    ("quoted", r"""["']([A-Za-z0-9+/_=-]{20,})["']""", 1, 20, False),
+    ("random", r"[A-Za-z0-9+/_=-]{32,}", 0, 32, False),
 )
+#: A value of these kinds counts only if it has both letters and this many digits, and one of PLAIN_HEX only if it isn't all of the kind hex.
+MIXED, DIGITS, PLAIN_HEX = ("beside", "quoted", "random"), 4, ("random",)
 #: Any text without a match of this has no candidate of any kind.
-ANY = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{16}|gh[pousr]_|xox[abprs]-|eyJ|AIza|[sr]k_live_|PRIVATE KEY"
-_NONE = "array<struct<start:int,rank:int,stop:int,kind:string,base:boolean,h:string>>"
+ANY = r"(?i:passw|secret|token|api_?key|pwd|pass|credential|auth|signature|access.key|private.key|client.key|bearer)|AKIA|[0-9a-f]{16}|gh[pousr]_|xox[abprs]-|[sr]k_live_|[A-Za-z0-9+/_=-]{20}|://[^\x00-\x20/@]{1,64}:[^\x00-\x20:/@]{4,128}@"
+_PARTS = "array<struct<rank:int,gaps:array<int>,sizes:array<int>,hashes:array<string>>>"
+_SPANS = "array<struct<start:int,rank:int,stop:int,kind:string,base:boolean,live:boolean>>"
+BLOCK = 4096
 
 
-def _found(text: Column, rank: int) -> Column:
-    """The spans of one kind, as an array of structs."""
-    kind, pattern, group, least, base = KINDS[rank]
+def _matches(text: Column, rank: int) -> Column:
+    """Lengths between and of one kind's matches, and the hashes of the values that count; null where there are none."""
+    kind, pattern, group, least, _ = KINDS[rank]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("n"), value.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + x["n"]
-        hit = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.sha2(x["value"], 256).alias("h"))
-        return F.struct(stop.alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(acc["hits"], hit)).otherwise(acc["hits"]).alias("hits"))
+    def hashed(v: Column) -> Column:
+        counts = F.length(v) >= least
+        if kind in MIXED:
+            counts &= (F.regexp_count(v, F.lit("[0-9]")) >= DIGITS) & v.rlike("[A-Za-z]")
+        if kind in PLAIN_HEX:
+            counts &= ~v.rlike("^[0-9a-f]+$")
+        return F.when(counts, F.sha2(v, 256))
+
+    # regexp_extract_all and split agree on matches: both go from left to right and never overlap.
+    parts = F.struct(F.lit(rank).alias("rank"), F.transform(F.split(text, pattern, -1), F.length).alias("gaps"), F.transform(whole, F.length).alias("sizes"), F.transform(value, hashed).alias("hashes"))
+    return F.when(text.rlike(pattern), parts)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("hits"))
-    # The last gap has no match after it.
-    hits = F.aggregate(F.filter(steps, lambda x: x["n"].isNotNull()), zero, step)["hits"]
-    return F.when(text.rlike(pattern), hits).otherwise(F.array().cast(_NONE))
 
+def _scanned(docs: DataFrame, text: str) -> DataFrame:
+    """docs with ``_parts``, an array with an entry for each kind that occurs, and a fixed ``_rid``."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    parts = F.when(t.rlike(ANY), F.array_compact(F.array(*(_matches(t, k) for k in range(len(KINDS)))))).otherwise(F.array()).cast(_PARTS)
+    return docs.withColumn("_parts", parts).withColumn("_rid", F.monotonically_increasing_id())
 
-def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``_hits``, all candidates of a text in order of start and kind."""
-    df = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    text = F.col("_text")
-    hits = F.array_sort(F.concat(*(_found(text, k) for k in range(len(KINDS)))))
-    return df.withColumn("_hits", F.when(text.rlike(ANY), hits).otherwise(F.array().cast(_NONE))).drop("_text")
+
+def _candidates(rows: DataFrame, *cols: str) -> DataFrame:
+    """From rows with ``_rid`` and ``_parts`` to a row for each candidate: _rid, cols, rank, start, stop, h."""
+    one = rows.where(F.size("_parts") > 0).select("_rid", *cols, F.explode("_parts").alias("p"))
+    # The last gap has no match after it.
+    zipped = F.slice(F.arrays_zip(F.col("p.gaps").alias("gap"), F.col("p.sizes").alias("n"), F.col("p.hashes").alias("h")), F.lit(1), F.size("p.sizes"))
+    one = one.select("_rid", *cols, F.col("p.rank").alias("rank"), F.posexplode(zipped).alias("at", "x"))
+    run = Window.partitionBy("_rid", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    one = one.withColumn("stop", F.sum(F.col("x.gap") + F.col("x.n")).over(run).cast("int"))
+    return one.where("x.h is not null").select("_rid", *cols, "rank", (F.col("stop") - F.col("x.n")).alias("start"), "stop", F.col("x.h").alias("h"))
 
 
 def ownership(hits: DataFrame) -> DataFrame:
@@ -79,28 +106,39 @@ def ownership(hits: DataFrame) -> DataFrame:
     return owners.join(repos, "h")
 
 
-def scan_secrets(df: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", keep: list[str] | None = None, max_owners: int = 2, max_repos: int = 50) -> DataFrame:
+def _judged(rows: DataFrame, max_owners: int) -> DataFrame:
+    """From rows (_rid, _repo, _owner, _parts), staged, to (_rid, start, rank, stop, live) of every candidate."""
+    each = staged(_candidates(rows, "_repo", "_owner"), "candidates")
+    live = ownership(each.select("h", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"))).select("h", (F.col("n_owners") <= max_owners).alias("live"))
+    return each.join(live, "h").select("_rid", "start", "rank", "stop", "live")
+
+
+def _owned(df: DataFrame, repo_col: str, owner_col: str | None) -> list[Column]:
+    owner = F.col(position(df, owner_col)) if owner_col else F.lit(None)
+    return [F.col(position(df, repo_col)).cast("string").alias("_repo"), owner.cast("string").alias("_owner")]
+
+
+def scan_secrets(df: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str | None = "source", keep: list[str] | None = None, max_owners: int = 2) -> DataFrame:
     """Per row of df: the columns ``keep`` (``repo_col`` if None), ``spans`` (array of structs), ``n_live`` and ``n_copied``.
 
     ``spans`` has every base span and the live-looking ones of the further kinds, each with
     ``live``; ``n_copied`` counts widely copied candidates of any kind.
     """
     keep = [repo_col] if keep is None else keep
-    held = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
-    own = F.col(owner_col) if owner_col else F.lit(None).cast("string")
-    scan = candidates(df.select(*held, F.col(text_col).alias("_t"), F.col(repo_col).alias("_repo"), own.alias("_owner")), "_t").drop("_t")
-    scan = staged(scan.withColumn("_rid", F.monotonically_increasing_id()), "secrets")
-    each = scan.where(F.size("_hits") > 0).select("_rid", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), F.explode("_hits").alias("x")).select("*", F.col("x.h").alias("h"))
-    stats = ownership(each.select("h", "repo", "owner"))
-    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
-    span = F.struct("x.start", "x.rank", "x.stop", "x.kind", "x.base", live.alias("live"))
-    judged = each.join(stats, "h").select("_rid", span.alias("x"))
-    per_row = judged.groupBy("_rid").agg(F.array_sort(F.collect_list("x")).alias("_x"))
-    clean = scan.where(F.size("_hits") == 0).select("_rid", *(f"_k{i}" for i in range(len(keep))), F.expr("cast(array() as array<struct<start:int,rank:int,stop:int,kind:string,base:boolean,live:boolean>>)").alias("_x"))
-    found = scan.where(F.size("_hits") > 0).select("_rid", *(f"_k{i}" for i in range(len(keep)))).join(per_row, "_rid")
+    held = [f"_c{i}" for i in range(len(keep))]
+    docs = by_position(df)
+    docs = docs.select(*(F.col(position(df, c)).alias(h) for c, h in zip(keep, held, strict=True)), *_owned(df, repo_col, owner_col), F.col(position(df, text_col)).alias("_t"))
+    scan = staged(_scanned(docs, "_t").drop("_t"), "secrets")
+    kinds = F.array(*(F.lit(k[0]) for k in KINDS))
+    base = F.col("rank").isin([r for r, k in enumerate(KINDS) if k[4]])
+    span = F.struct("start", "rank", "stop", F.get(kinds, F.col("rank")).alias("kind"), base.alias("base"), "live")
+    per_row = _judged(scan, max_owners).groupBy("_rid").agg(F.array_sort(F.collect_list(span)).alias("_x"))
+    found = scan.where(F.size("_parts") > 0).select("_rid", *held).join(per_row, "_rid", "left").drop("_rid")
+    out = found.unionByName(scan.where(F.size("_parts") == 0).select(*held, F.array().cast(_SPANS).alias("_x")))
+    out = out.withColumn("_x", F.coalesce("_x", F.array().cast(_SPANS)))
+    n = lambda test: F.size(F.filter("_x", test)).cast("long")
     spans = F.filter("_x", lambda x: x["base"] | x["live"])
-    counted = [F.size(F.filter("_x", lambda x: x["live"])).cast("long").alias("n_live"), F.size(F.filter("_x", lambda x: ~x["live"])).cast("long").alias("n_copied")]
-    return clean.unionByName(found).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), spans.alias("spans"), *counted)
+    return out.select(*(F.col(h).alias(c) for c, h in zip(keep, held, strict=True)), spans.alias("spans"), n(lambda x: x["live"]).alias("n_live"), n(lambda x: ~x["live"]).alias("n_copied"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -108,29 +146,33 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by mark; spans are in order of start."""
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        fresh = x["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    cut = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+def _piece(blocks: Column, start: Column, stop: Column) -> Column:
+    """Characters start to stop of a text in blocks; the cost is that of the piece and two blocks."""
+    i, j = (start / BLOCK).cast("int"), (stop / BLOCK).cast("int")
+    tail = F.concat(F.substring(F.get(blocks, i), start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.coalesce(F.substring(F.get(blocks, j), F.lit(1), stop % BLOCK), F.lit("")))
+    return F.when(stop <= start, "").when(i == j, F.substring(F.get(blocks, i), start % BLOCK + 1, stop - start)).otherwise(tail)
 
 
-def redact_secrets(df: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mark: str = "[SECRET]", **limits) -> DataFrame:
-    """df with the spans that ``scan_secrets`` reports replaced by ``mark``.
+def redact_secrets(df: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str | None = "source", mark: str = "[SECRET]", max_owners: int = 2) -> DataFrame:
+    """df with each span that ``scan_secrets`` reports, or run of overlapping ones, replaced by ``mark``.
 
-    Rows are staged once.  Those without candidates go straight on; only the others meet their
-    spans in a shuffle.
+    Only rows with candidates are staged and meet their spans in a shuffle; the others go
+    straight from the input to the result.
     """
-    cols = df.columns
-    rid = "_row"
-    rows = staged(candidates(df, text_col).withColumn(rid, F.monotonically_increasing_id()).withColumn("_some", F.size("_hits") > 0).drop("_hits"), "redact")
-    some = rows.where("_some")
-    found = scan_secrets(some, text_col, repo_col, owner_col, [rid], **limits)
-    done = some.join(found.select(rid, F.col("spans").alias("_spans")), rid).withColumn(text_col, redact(F.col(text_col), F.col("_spans")))
-    return rows.where("not _some").select(*cols).unionByName(done.select(*cols))
+    docs, text = by_position(df), position(df, text_col)
+    t = F.coalesce(F.col(text), F.lit(""))
+    some = staged(_scanned(docs.select("*", *_owned(df, repo_col, owner_col)).where(t.rlike(ANY)), text), "redact")
+    base = F.col("rank").isin([r for r, k in enumerate(KINDS) if k[4]])
+    cut = _judged(some.select("_rid", "_repo", "_owner", "_parts"), max_owners).where(base | F.col("live"))
+    before = Window.partitionBy("_rid").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = (F.col("start") >= F.coalesce(F.max("stop").over(before), F.lit(0))).cast("int")
+    through = Window.partitionBy("_rid").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    runs = cut.withColumn("f", fresh).withColumn("run", F.sum("f").over(through)).groupBy("_rid", "run").agg(F.min("start").alias("a"), F.max("stop").alias("b"))
+    per_row = runs.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
+    blocks = F.regexp_extract_all(t, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    done = some.join(per_row, "_rid", "left").withColumn("_blocks", F.when(F.col("_cuts").isNotNull(), blocks))
+    # Gaps before each cut, and what is left after the last one.
+    kept = F.transform("_cuts", lambda x, i: _piece(F.col("_blocks"), F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["b"]), x["a"]))
+    rest = _piece(F.col("_blocks"), F.element_at("_cuts", -1)["b"], F.length(t))
+    done = done.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.array_join(F.array_append(kept, rest), mark)))
+    return docs.where(~t.rlike(ANY)).unionByName(done.select(*docs.columns)).toDF(*df.columns)
