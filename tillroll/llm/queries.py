@@ -97,7 +97,7 @@ def _secrets_sql() -> str:
     judged as (select h.*, n_owners <= 2 as live from hits h join stats using (value))
     select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
            sha256({listed("base")}) as base_sha256, {listed("base or live")} as spans,
-           count(*) filter (live) as n_live, count(*) filter (not live) as n_copied
+           count(distinct value) filter (live) as n_live, count(distinct value) filter (not live) as n_copied
     from documents d left join judged j using (doc_id) group by d.doc_id"""
 
 

@@ -45,7 +45,7 @@ KINDS = (
     ("login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9_.%+-]{1,64}:([^\x00-\x20:/@\"'<>]{4,128})@[A-Za-z0-9.-]+", 1, 4, False),
     ("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{20,})", 1, 20, False),
     ("beside", r"""(?i:pwd|pass|credentials?|auth|signature|access.key|private.key|client.key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{12,})""", 1, 12, False),
-    ("quoted", r"""["']([A-Za-z0-9+/_=-]{20,})["']""", 1, 20, False),
+    ("quoted", r"""["']([A-Za-z0-9+/_=-]{20,})""", 1, 20, False),
     ("random", r"[A-Za-z0-9+/_=-]{32,}", 0, 32, False),
 )
 #: A value of these kinds counts only if it has both letters and this many digits, and one of PLAIN_HEX only if it isn't all of the kind hex.
@@ -107,10 +107,10 @@ def ownership(hits: DataFrame) -> DataFrame:
 
 
 def _judged(rows: DataFrame, max_owners: int) -> DataFrame:
-    """From rows (_rid, _repo, _owner, _parts), staged, to (_rid, start, rank, stop, live) of every candidate."""
+    """From rows (_rid, _repo, _owner, _parts), staged, to (_rid, start, rank, stop, live, h) of every candidate."""
     each = staged(_candidates(rows, "_repo", "_owner"), "candidates")
     live = ownership(each.select("h", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"))).select("h", (F.col("n_owners") <= max_owners).alias("live"))
-    return each.join(live, "h").select("_rid", "start", "rank", "stop", "live")
+    return each.join(live, "h").select("_rid", "start", "rank", "stop", "live", "h")
 
 
 def _owned(df: DataFrame, repo_col: str, owner_col: str | None) -> list[Column]:
@@ -122,7 +122,7 @@ def scan_secrets(df: DataFrame, text_col: str = "text", repo_col: str = "doc_id"
     """Per row of df: the columns ``keep`` (``repo_col`` if None), ``spans`` (array of structs), ``n_live`` and ``n_copied``.
 
     ``spans`` has every base span and the live-looking ones of the further kinds, each with
-    ``live``; ``n_copied`` counts widely copied candidates of any kind.
+    ``live``.  ``n_live`` and ``n_copied`` count the row's different candidates of any kind.
     """
     keep = [repo_col] if keep is None else keep
     held = [f"_c{i}" for i in range(len(keep))]
@@ -132,13 +132,13 @@ def scan_secrets(df: DataFrame, text_col: str = "text", repo_col: str = "doc_id"
     kinds = F.array(*(F.lit(k[0]) for k in KINDS))
     base = F.col("rank").isin([r for r, k in enumerate(KINDS) if k[4]])
     span = F.struct("start", "rank", "stop", F.get(kinds, F.col("rank")).alias("kind"), base.alias("base"), "live")
-    per_row = _judged(scan, max_owners).groupBy("_rid").agg(F.array_sort(F.collect_list(span)).alias("_x"))
+    values = lambda test: F.size(F.collect_set(F.when(test, F.col("h")))).cast("long")
+    per_row = _judged(scan, max_owners).groupBy("_rid").agg(F.array_sort(F.collect_list(span)).alias("_x"), values(F.col("live")).alias("_live"), values(~F.col("live")).alias("_copied"))
     found = scan.where(F.size("_parts") > 0).select("_rid", *held).join(per_row, "_rid", "left").drop("_rid")
-    out = found.unionByName(scan.where(F.size("_parts") == 0).select(*held, F.array().cast(_SPANS).alias("_x")))
-    out = out.withColumn("_x", F.coalesce("_x", F.array().cast(_SPANS)))
-    n = lambda test: F.size(F.filter("_x", test)).cast("long")
-    spans = F.filter("_x", lambda x: x["base"] | x["live"])
-    return out.select(*(F.col(h).alias(c) for c, h in zip(keep, held, strict=True)), spans.alias("spans"), n(lambda x: x["live"]).alias("n_live"), n(lambda x: ~x["live"]).alias("n_copied"))
+    out = found.unionByName(scan.where(F.size("_parts") == 0).select(*held), allowMissingColumns=True)
+    spans = F.filter(F.coalesce("_x", F.array().cast(_SPANS)), lambda x: x["base"] | x["live"])
+    n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return out.select(*(F.col(h).alias(c) for c, h in zip(keep, held, strict=True)), spans.alias("spans"), n("_live").alias("n_live"), n("_copied").alias("n_copied"))
 
 
 def spans_text(spans: Column) -> Column:
