@@ -49,26 +49,18 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def _digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    table = spark.createDataFrame(known, "license string, body string")
-    return table.select(digest(F.col("body")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None, known_notices: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license, notice) of entire texts and of one-line notices."""
+    rows = [(n, b, False) for n, b in (KNOWN if known is None else known)] + [(n, b, True) for n, b in (notices() if known_notices is None else known_notices)]
+    table = spark.createDataFrame(rows, "license string, body string, notice boolean")
+    return table.select(digest(F.col("body")).alias("digest"), "license", "notice").groupBy("digest", "notice").agg(F.min("license").alias("license"))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license) of entire texts."""
-    return _digests(spark, KNOWN if known is None else known)
-
-
-def notice_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license) of one-line notices."""
-    return _digests(spark, notices() if known is None else known)
-
-
-def scan_licenses(df: DataFrame, known: DataFrame, notices: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``text_digest``, ``whole_license`` (of the entire text, or null), ``notice_licenses`` (of its lines, comma-joined, or null), ``licenses`` (of both), ``n_lines`` that matched.
 
-    ``notices`` are the built-in ones if None.  The joins' strategy is left to the optimizer: it
-    broadcasts a list of digests only if its size is under the session's threshold, else it
+    The joins' strategy is left to the optimizer: it
+    broadcasts the digests only if its size is under the session's threshold, else it
     shuffles, and splits hot digests of copies.
     """
     docs = by_position(df)
@@ -76,9 +68,8 @@ def scan_licenses(df: DataFrame, known: DataFrame, notices: DataFrame | None = N
     lines = F.when(text.rlike(SPEAKS), F.filter(F.split(text, "\n"), lambda x: x.rlike(SPEAKS))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(position(df, id_col)).alias("_id"), digest(text).alias("digest"), F.transform(lines, digest).alias("_lines"))
     rows = staged(rows.withColumn("_rid", F.monotonically_increasing_id()), "digests")
-    whole = rows.select("_rid", "_id", "digest").join(known.select("digest", F.col("license").alias("whole_license")), "digest", "left")
-    listed = notice_digests(df.sparkSession) if notices is None else notices
-    hits = rows.select("_rid", F.explode("_lines").alias("digest")).join(listed, "digest")
+    whole = rows.select("_rid", "_id", "digest").join(known.where("not notice").select("digest", F.col("license").alias("whole_license")), "digest", "left")
+    hits = rows.select("_rid", F.explode("_lines").alias("digest")).join(known.where("notice"), "digest")
     found = hits.groupBy("_rid").agg(F.array_sort(F.collect_set("license")).alias("_found"), F.count("*").alias("_n"))
     out = whole.join(found, "_rid", "left")
     both = F.array_sort(F.array_distinct(F.array_compact(F.array_append(F.coalesce("_found", F.array().cast("array<string>")), F.col("whole_license")))))
