@@ -151,10 +151,10 @@ def test_decontamination_equals_brute_force(spark, limit):
     texts = [None, "", "x", "P3 p4, p5! p6 p7 p8 p9 p10 p11 p12 tail", "p3 p4 p5 p6 p7 p8 p9 p10 p11 zz", "a tiny ITEM tiny item", "so solo solo", "b a a a a a a a a a a a a a b", "ÉCOLE élan five six seven", "école élan five six seven", LONG + " " + passage + " " + passage, "... !!!"]
     df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, items string, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.find_overlaps(df, bench, max_broadcast=limit).collect()}
+    got = {r.doc_id: r for r in decontaminate.find_overlaps(df, bench, max_bytes=limit).collect()}
     for i, text in enumerate(texts):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"], got[i].contaminated) == overlaps_by_hand(text, items), text
-    kept = decontaminate.drop_contaminated(df.union(df), bench, max_broadcast=limit)
+    kept = decontaminate.drop_contaminated(df.union(df), bench, max_bytes=limit)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(2 * [i for i, t in enumerate(texts) if not overlaps_by_hand(t, items)[3]])
     assert kept.columns == df.columns
 

@@ -2,19 +2,26 @@
 
 Words are runs of ``[0-9a-z]`` and non-ASCII characters after A-Z are lower-cased.  An item's
 windows are its spans of ``span`` consecutive words; an item of fewer words, but not none, is
-one window.  Both sides keep, for every run of ``span`` words, the least hash of its ``k``-word
-grams (ties are the same value): equal runs keep equal hashes, so joining the hashes meets
-every shared span.  A hit is then extended: the run of words that kept the hash is compared
-with the items' windows, hash and words, and each equal one marks its words.
-
-Short items get fingerprints of their own length, so they are found as surely.
-
-The items' distinct fingerprints and windows are counted first.  Up to ``max_broadcast`` of
-them they are broadcast, and documents are never shuffled before hits are few.  Beyond that,
-documents are first reduced by a shuffled join to those that hold a known fingerprint.
-
-Null and empty texts have no words and no hits.  Repeated rows are judged each for itself, and
-null ids are rows like others.  Null item ids have windows like others, but are not listed.
+one window.  Both sides keep, of every window, the ``k``-word gram with the least hash, the last
+of several; neighbouring windows mostly keep the same gram, so about one gram in four is a
+fingerprint.  Equal windows keep equal grams at equal places, so joining the fingerprints meets
+every shared window.  A hit is then extended: the words around the document's gram are compared
+with those around the item's, as far as a window may reach, and a common run of ``span`` words
+marks its words.  That is exact: every shared window lies in the run around its own gram.
+
+Short items get fingerprints of windows of their own length, so they are found as surely.
+
+The items' fingerprints and their surroundings are measured first.  Up to ``max_bytes`` of them
+they are broadcast, and documents' texts are never shuffled.  Beyond that documents' fingerprints
+are shuffled to them, without texts, and candidates meet their document's words by row id.  Both
+ways give the same rows.
+
+Null and empty texts have no words and no hits.  Very long texts are read whole.  Repeated rows
+are judged each for itself, by a row id that staging fixes, and null ids are rows like others.
+Null item ids have windows like others, but are not listed.  Ties: equal grams in a window
+count by the last one; equal items are listed each.  Without items nothing is contaminated; an
+empty table of documents gives an empty result.  Columns of documents and items may have any
+names.
 """
 
 from __future__ import annotations
@@ -22,106 +29,139 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm._common import ascii_lower, staged
+from tillroll.llm._common import ascii_lower, by_position, discard, position, staged
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MAX_BROADCAST = 1_000_000
+#: The items' side is broadcast up to this many bytes, words and their overhead in memory counted.
+MAX_BYTES = 64 << 20
+#: A fingerprint holds 40 bits of a gram's hash above this many of its place, so that of equal hashes the last is the least.
+_PLACE = 24
+_ITSELF = -1
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _grams(df: DataFrame, words_col: str, k: int, out: str) -> DataFrame:
-    """Add the hashes of all k-word grams; null where there are fewer words."""
-    hashed = ", ".join(f"get({words_col}, i + {j})" for j in range(1, k))
-    one = f"xxhash64(x{', ' if hashed else ''}{hashed})"
-    return df.withColumn(out, F.expr(f"case when size({words_col}) >= {k} then transform(slice({words_col}, 1, size({words_col}) - {k - 1}), (x, i) -> {one}) end"))
+def _bound(value: str, name: str, body: str) -> str:
+    """body with name bound to value, which is evaluated once; nested columns would be inlined and multiply."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _around(at: str, span: str, reach: str) -> str:
+    """The words before a gram, nearest first, and those from it on, as far as a window reaches."""
+    return f"reverse(slice(_w, greatest({at} - {reach} + 1, 1), least({at}, {reach}))) as before, slice(_w, {at} + 1, {span}) as after"
+
+
+def _fingerprints(df: DataFrame, span: int, k: int, out: str, around: bool = True) -> DataFrame:
+    """Add ``out``: an array of (key, at) and the words around, for the kept grams of the windows of span words of column ``_w``."""
+    k, low = min(k, span), (1 << _PLACE) - 1
+    gram = f"xxhash64(x{''.join(f', get(_w, i + {j})' for j in range(1, k))})"
+    grams = f"transform(slice(_w, 1, size(_w) - {k - 1}), (x, i) -> shiftleft(shiftright({gram}, {_PLACE}), {_PLACE}) + ({low} - (i & {low})))"
+    width, steps = span - k + 1, []
+    while (have := 1 + sum(steps)) < width:  # the least of twice as many, from two overlapping halves
+        steps.append(min(have, width - have))
+    name = f"g{len(steps)}"
+    key = f"shiftright(x, {_PLACE}) * 1024L + {span}"
+    place = f"cast(i + pmod({low} - (x & {low}) - i, {low + 1}) as int)"
+    struct = _bound(place, "p", f"struct({key} as key, p as at{', ' + _around('p', str(span), str(span - k)) if around else ''})")
+    found = f"array_compact(transform({name}, (x, i) -> case when i = 0 or x <> get({name}, i - 1) then {struct} end))"
+    for n, step in reversed(list(enumerate(steps))):
+        found = _bound(f"transform(slice(g{n}, 1, size(g{n}) - {step}), (x, i) -> least(x, get(g{n}, i + {step})))", f"g{n + 1}", found)
+    found = _bound(grams, "g0", found)
+    return df.withColumn(out, F.expr(f"case when size(_w) >= {span} then {found} else cast(array() as array<struct<key:bigint,at:int{',before:array<string>,after:array<string>' if around else ''}>>) end"))
+
+
+def _surroundings(items: DataFrame, id_col: str, text_col: str, span: int, k: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Of the items' fingerprints the distinct (ctx, key, span, before, after); (ctx, item_id); and the lengths of windows that occur."""
+    each = by_position(items).select(F.col(position(items, id_col)).cast("string").alias("item_id"), words(F.col(position(items, text_col))).alias("_w"))
+    each = staged(each.where(F.size("_w") > 0).withColumn("span", F.least(F.size("_w"), F.lit(span))), "items")
+    lengths = sorted(r.span for r in each.select("span").distinct().collect())  # at most span numbers
+    made = each.select("item_id", F.lit(0).cast("long").alias("key"), "span", F.col("_w").alias("before"), F.col("_w").alias("after")).limit(0)
+    for length in lengths:
+        part = _fingerprints(each.where(F.col("span") == length), length, k, "_f").select("item_id", "span", F.explode_outer("_f").alias("f"))
+        made = made.unionByName(part.select("item_id", "f.key", "span", "f.before", "f.after"))
+    made = staged(made.distinct(), "windows")
+    place = ["key", "span", "before", "after"]
+    ctx = staged(made.select(place).distinct().withColumn("ctx", F.monotonically_increasing_id()), "surroundings")
+    of_item = staged(made.join(ctx, place).where("item_id is not null").select("ctx", "item_id").distinct(), "of_item")
+    discard(each, made)
+    return ctx, of_item, lengths
 
 
-def _least(grams: str, w: int) -> str:
-    """The least of every w consecutive hashes."""
-    if w == 1:
-        return grams
-    return f"transform(slice({grams}, 1, greatest(size({grams}) - {w - 1}, 0)), (x, i) -> least(x, {', '.join(f'get({grams}, i + {j})' for j in range(1, w))}))"
+def _bytes(ctx: DataFrame) -> int:
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 24)
+    return ctx.select(F.coalesce(F.sum(size("before") + size("after") + 96), F.lit(0))).first()[0]
 
 
-def runs(df: DataFrame, words_col: str, lengths: list[int], k: int) -> DataFrame:
-    """Add ``_runs``: an array of (span, prints), the kept hash of each run of span words, for each length."""
-    parts = []
-    for length in lengths:
-        grams = f"_g{min(k, length)}"
-        if grams not in df.columns:
-            df = _grams(df, words_col, min(k, length), grams)
-        prints = f"_p{length}"
-        df = df.withColumn(prints, F.expr(_least(grams, length - min(k, length) + 1)))
-        parts.append(F.struct(F.lit(length).alias("span"), F.coalesce(F.col(prints), F.array().cast("array<bigint>")).alias("prints")))
-    return df.withColumn("_runs", F.array(*parts)).drop(*(c for c in df.columns if c.startswith(("_g", "_p"))))
-
-
-def item_windows(items: DataFrame, id_col: str, text_col: str, span: int, k: int) -> tuple[DataFrame, list[int]]:
-    """(span, print, wid, words, item_id) of every window, and the lengths that occur (``span`` and less)."""
-    each = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0).withColumn("length", F.least(F.size("w"), F.lit(span)))
-    each = staged(each, "items")
-    lengths = sorted(r.length for r in each.select("length").distinct().collect())  # at most span numbers
-    made = []
-    for length in lengths:
-        part = runs(each.where(F.col("length") == length), "w", [length], k).select("item_id", "w", F.posexplode(F.col("_runs")[0]["prints"]).alias("at", "print"))
-        made.append(part.select(F.lit(length).alias("span"), "print", F.slice("w", F.col("at") + 1, F.lit(length)).alias("words"), "item_id"))
-    if not made:
-        return each.select(F.lit(0).alias("span"), F.lit(0).cast("long").alias("print"), F.col("w").alias("words"), "item_id").where("false"), []
-    out = made[0]
-    for x in made[1:]:
-        out = out.unionByName(x)
-    return staged(out.distinct(), "windows"), lengths
+def _runs(met: DataFrame, *cols: str) -> DataFrame:
+    """Of documents' grams (key, at, before, after) that met an item's (span, i_before, i_after, ctx), (cols, a, b, ctx) where words a to b are common and make a window."""
+    upto = lambda side: _bound(f"transform(i_{side}, (x, t) -> x <=> get({side}, t))", "y", f"case when array_position(y, false) > 0 then cast(array_position(y, false) as int) - 1 else size(i_{side}) end")
+    met = met.select(*cols, "key", "span", "at", "ctx", F.expr(f"struct({upto('before')} as l, {upto('after')} as r)").alias("x"))
+    return met.where(f"key = {_ITSELF} or x.l + x.r >= span").select(*cols, (F.col("at") - F.col("x.l")).alias("a"), (F.col("at") + F.col("x.r")).alias("b"), "ctx")
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, span: int = 10, k: int = 4, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per document: the columns ``keep`` (the id if None), n_words, n_hit, items (sorted as strings) and contaminated."""
-    keep = [id_col] if keep is None else keep
-    windows, lengths = item_windows(items, item_id_col, item_text_col, span, k)
-    small = windows.limit(max_broadcast + 1).count() <= max_broadcast
-    near = F.broadcast if small else (lambda x: x)
-    known = windows.select("span", "print").distinct()
-    held = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
-    names = [f"_k{i}" for i in range(len(keep))]
-    rows = docs.select(*held, words(F.col(text_col)).alias("_w")).withColumn("_rid", F.monotonically_increasing_id())
-    rows = rows.withColumn("n_words", F.size("_w").cast("long"))
-    if not lengths:
-        none = F.array().cast("array<string>")
-        return rows.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), F.lit(False).alias("contaminated"))
+def _hits(rows: DataFrame, names: list[str], ctx: DataFrame, lengths: list[int], k: int, max_bytes: int, itself: bool) -> DataFrame:
+    """From rows (_rid, names, _w) to staged (_rid, names, a, b, ctx), a row for each hit.
+
+    With itself there is also a row with null a for each row, and only that one has the names.
+    """
+    kept = ctx.select("ctx", "key", "span", F.col("before").alias("i_before"), F.col("after").alias("i_after"))
+    none = F.array().cast("array<string>")
+    small = _bytes(ctx) <= max_bytes
     if not small:
         rows = staged(rows, "words")
-        prints = runs(rows.select("_rid", "_w"), "_w", lengths, k).select("_rid", F.explode_outer("_runs").alias("r")).select("_rid", "r.span", F.explode_outer(F.array_distinct("r.prints")).alias("print"))
-        some = prints.join(known, ["span", "print"], "left_semi").select("_rid").distinct()
-        other = rows.join(some, "_rid", "left_anti")
-        rows = rows.join(some, "_rid", "left_semi")
-    # Outer generators, for from others the optimizer infers a filter that evaluates the hashes again, within their own lambdas.
-    # One more row with span 0 for each document, so that one pass gives both its hits and itself.
-    itself = F.struct(F.lit(0).alias("span"), F.array(F.lit(0).cast("long")).alias("prints"))
-    spread = runs(rows, "_w", lengths, k).withColumn("_runs", F.concat(F.array(itself), "_runs"))
-    spread = spread.select("_rid", *names, "n_words", "_w", F.explode_outer("_runs").alias("r")).select("_rid", *names, "n_words", "_w", "r.span", F.posexplode_outer("r.prints").alias("at", "print"))
-    spread = spread.join(near(known.withColumn("met", F.lit(True))), ["span", "print"], "left").where("met or span = 0")
-    part = F.when(F.col("span") > 0, F.slice("_w", F.col("at") + 1, F.col("span")))
-    hits = spread.select("_rid", *(F.when(F.col("span") == 0, F.col(c)).alias(c) for c in (*names, "n_words")), "span", "at", part.alias("words"))
-    wins = windows.groupBy("words").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("found"))
-    hits = hits.join(near(wins), "words", "left").where("span = 0 or found is not null")
-    per_doc = hits.groupBy("_rid").agg(
-        *(F.max(c).alias(c) for c in names), F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_set("found"))).alias("items"),
-        F.sort_array(F.collect_set(F.when(F.col("span") > 0, F.struct("at", "span")))).alias("_at"),
-    )
+    spread = rows
+    for length in lengths:
+        spread = _fingerprints(spread, length, k, f"_f{length}", small)
+    each = [F.col(f"_f{n}") for n in lengths]
+    # Outer generators, for from inner ones the optimizer infers a filter that evaluates the hashes again.
+    if small:
+        if itself:
+            each.append(F.array(F.struct(F.lit(_ITSELF).cast("long").alias("key"), F.lit(0).alias("at"), none.alias("before"), none.alias("after"))))
+            kept = kept.unionByName(ctx.sparkSession.range(1).select(F.lit(None).cast("long").alias("ctx"), F.lit(_ITSELF).cast("long").alias("key"), F.lit(0).alias("span"), none.alias("i_before"), none.alias("i_after")))
+        spread = spread.select("_rid", *names, F.explode_outer(F.concat(*each) if each else F.lit(None).cast("array<struct<key:bigint,at:int,before:array<string>,after:array<string>>>")).alias("f"))
+        runs = _runs(spread.select("_rid", *names, "f.*").join(F.broadcast(kept), "key"), "_rid", *names)
+    else:
+        spread = spread.select("_rid", F.explode_outer(F.concat(*each)).alias("f")).select("_rid", "f.*")
+        some = spread.join(kept, "key").groupBy("_rid").agg(F.collect_list(F.struct("key", "span", "at", "ctx", "i_before", "i_after")).alias("_m"))
+        around = F.expr(f"transform(_m, m -> struct(m.key as key, m.span as span, m.at as at, m.ctx as ctx, m.i_before as i_before, m.i_after as i_after, {_around('m.at', 'm.span', f'(m.span - least(m.span, {k}))')}))")
+        met = rows.join(some, "_rid").select("_rid", *names, around.alias("_m")).select("_rid", *names, F.explode_outer("_m").alias("m")).select("_rid", *names, "m.*")
+        runs = _runs(met, "_rid", *names)
+        if itself:
+            runs = runs.unionByName(rows.select("_rid", *names), allowMissingColumns=True)
+    only = lambda c: (F.when(F.col("ctx").isNull(), F.col(c)) if itself else F.col(c)).alias(c)
+    return staged(runs.select("_rid", *map(only, names), F.when(F.col("ctx").isNotNull(), F.col("a")).alias("a"), "b", "ctx"), "hits")
+
+
+def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, span: int = 10, k: int = 4, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Per document: the columns ``keep`` (the id if None), n_words, n_hit, items (sorted as strings) and contaminated."""
+    keep = [id_col] if keep is None else keep
+    ctx, of_item, lengths = _surroundings(items, item_id_col, item_text_col, span, k)
+    names = [f"_c{i}" for i in range(len(keep))]
+    rows = by_position(docs).select(*(F.col(position(docs, c)).alias(n) for c, n in zip(keep, names, strict=True)), words(F.col(position(docs, text_col))).alias("_w"))
+    rows = rows.withColumn("n_words", F.size("_w").cast("long")).withColumn("_rid", F.monotonically_increasing_id())
+    hits = _hits(rows, [*names, "n_words"], ctx, lengths, k, max_bytes, True)
+    found = hits.where("a is not null")
     # Words under the union of runs: each run adds what lies beyond the furthest end before it.
-    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["at"] + x["span"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["at"] + x["span"] - F.greatest(acc["end"], x["at"]))).alias("n"))
-    n_hit = F.aggregate("_at", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), step)["n"]
-    out = per_doc.select(*names, "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items"))
-    if not small:
-        out = out.unionByName(other.select(*names, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")))
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs without a hit.  Only ids and digests of hit texts are shuffled to them."""
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    hit = find_overlaps(docs.withColumn("_digest", digest), items, id_col, text_col, keep=[id_col, "_digest"], **how).where("contaminated").select(F.col(id_col).alias("_i"), F.col("_digest").alias("_d"))
-    return docs.withColumn("_digest", digest).join(hit, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d")), "left_anti").drop("_digest")
+    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(acc["end"], x["a"]))).alias("n"))
+    n_hit = F.aggregate(F.sort_array(F.collect_set(F.struct("a", "b"))), F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), step)["n"]
+    counted = found.groupBy("_rid").agg(n_hit.alias("n_hit"))
+    listed = found.select("_rid", "ctx").distinct().join(of_item, "ctx").groupBy("_rid").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = hits.where("a is null").join(counted, "_rid", "left").join(listed, "_rid", "left")
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 4, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows of docs without a hit.
+
+    Hits are staged as ids and digests of texts, so their size is known when the rows are joined
+    to them: while it is under the session's broadcast threshold no text is shuffled.
+    """
+    rows, i, text = by_position(docs), position(docs, id_col), position(docs, text_col)
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    ctx, of_item, lengths = _surroundings(items, item_id_col, item_text_col, span, k)
+    discard(of_item)
+    read = rows.select(F.col(i).alias("_i"), digest.alias("_d"), words(F.col(text)).alias("_w")).withColumn("_rid", F.monotonically_increasing_id())
+    found = _hits(read, ["_i", "_d"], ctx, lengths, k, max_bytes, False).select("_i", "_d").distinct()
+    return rows.join(found, F.col(i).eqNullSafe(F.col("_i")) & (digest == F.col("_d")), "left_anti").toDF(*docs.columns)
