@@ -6,12 +6,16 @@ bins and adds a small step to its lookup table.  Then the pairs that lower the r
 most get two-dimensional tables in the same way, from trees that cut each side once.  A score
 is the sigmoid of the sum of the looked-up values: bin lookups and additions, vectorised.
 
-The model learns from at most ``max_rows`` labelled rows, those with the least hash of their
-id, so what reaches the driver is bounded; all texts are scored.  Without usable labels every
-score is 0.5.
-
-Null and empty texts have feature values of their own (no words) and are scored.  Labels of a
-repeated id are averaged and cut at one half; null labels and null ids teach nothing.
+The model learns from at most ``max_rows`` labelled ids, those with the least hash, and of a
+repeated id from one row, that with the least hash of its text; so what reaches the driver is
+bounded and does not depend on the order of rows.  Only these rows' features are taken for
+learning; all texts are scored, in one pass.  Without usable labels every score is 0.5.
+
+Null and empty texts have feature values of their own (no words) and are scored; very long ones
+are read whole.  Labels of a repeated id are averaged and cut at one half; null labels and null
+ids teach nothing.  Repeated rows get equal scores.  Ties: a value on a bin's edge belongs to
+the bin above; of equally good cuts the lowest counts.  An empty table gives an empty result.
+Columns of documents and labels may have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from tillroll.llm._common import staged
+from tillroll.llm._common import by_position, position
 
 FEATURES = ("log_words", "symbols", "shouts", "upper", "digits", "distinct", "word_length", "lines", "stops", "pipes", "beyond_ascii", "repeated_lines")
 MAX_ROWS = 20_000
@@ -53,7 +57,7 @@ def features(text: str | None) -> list[float]:
 
 def with_features(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     kept = df.select(*keep, F.col(text_col).alias("_text"))
-    schema = StructType([f for f in kept.schema if f.name != "_text"]).add("x", ArrayType(DoubleType()))
+    schema = StructType(list(kept.schema)[:-1]).add("x", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +154,7 @@ def fit(x: np.ndarray, y: np.ndarray, n_bins: int = 24, rounds: int = 150, pair_
             add = rate * _tree(np.bincount(b, g, size), np.bincount(b, h, size), smooth)
             model.single[k] += add
             total += add[b]
-    # Pairs on coarser bins: every table cell still is one of the pair's bins.
+    # Pairs on the same bins: a table has a cell for each two of them.
     g, h = slopes()
     shape = lambda i, j: (len(model.single[i]), len(model.single[j]))
     cell = lambda i, j, v: np.bincount(bins[i] * shape(i, j)[1] + bins[j], v, shape(i, j)[0] * shape(i, j)[1]).reshape(shape(i, j))
@@ -170,44 +174,47 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS, **how) -> Gam:
-    """Fit on the rows (id, x) whose label is known and whose id isn't held out."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, **how) -> Gam:
+    """Fit on the documents whose label is known and whose id isn't held out."""
+    known = by_position(labels).select(F.col(position(labels, id_col)).alias("_id"), F.col(position(labels, label_col)).alias("_y"))
+    known = known.where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
+    rows = by_position(docs).select(F.col(position(docs, id_col)).alias("_id"), F.col(position(docs, text_col)).alias("_t"))
+    # Labels of ids that no document has would take the place of others.
+    known = known.join(rows.select("_id"), "_id", "left_semi")
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    got = rows.join(sample, F.col(id_col) == F.col("_id")).select("x", "_y").limit(4 * max_rows).toPandas()
+    taken = rows.join(F.broadcast(sample), "_id").withColumn("_h", F.xxhash64("_t"))  # at most max_rows ids
+    one = with_features(taken, ["_id", "_y", "_h"], "_t").groupBy("_id", "_y").agg(F.min(F.struct("_h", "x"))["x"].alias("x"))
+    got = one.select("x", "_y").toPandas()
     return fit(np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES)), got["_y"].to_numpy(int), **how)
 
 
-def score_rows(rows: DataFrame, model: Gam) -> DataFrame:
-    """Add ``score`` to rows with ``x``, and drop ``x``."""
-    schema = StructType([f for f in rows.schema if f.name not in ("x", "score")]).add("score", "double")
-    keep = schema.names[:-1]
+def _score_pass(rows: DataFrame, text: str, model: Gam, threshold: float | None) -> DataFrame:
+    """rows with ``_score`` instead of their text; with a threshold, the rows as they are that score at least so much."""
+    schema = StructType([f for f in rows.schema if f.name != text]).add("_score", "double") if threshold is None else rows.schema
+    keep = [n for n in rows.columns if n != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(x))], names=schema.names)
+            x = np.array([features(t.as_py()) for t in batch.column(text)], float).reshape(-1, len(FEATURES))
+            scores = model.score(x)
+            if threshold is None:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], names=schema.names)
+            else:
+                yield batch.filter(pa.array(scores >= threshold))
 
     return rows.mapInArrow(run, schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
     """Per row: the id, held_out, score and predicted."""
-    rows = staged(with_features(docs, [id_col], text_col), "features")
-    scored = score_rows(rows, learn(rows, labels, id_col, max_rows=max_rows))
-    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = learn(docs, labels, id_col, text_col, max_rows=max_rows)
+    rows = by_position(docs).select(F.col(position(docs, id_col)).alias("_id"), F.col(position(docs, text_col)).alias("_t"))
+    score = F.col("_score")
+    return _score_pass(rows, "_t", model, None).select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of docs that score at least threshold, with their columns; texts are read twice but never shuffled."""
-    rows = staged(with_features(docs, [id_col], text_col), "features")
-    model = learn(rows, labels, id_col, max_rows=max_rows)
-    schema = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch.column(text_col)], float).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(model.score(x) >= threshold))
-
-    return docs.mapInArrow(run, schema)
+    """The rows of docs that score at least threshold, with their columns; no text is shuffled."""
+    model = learn(docs, labels, id_col, text_col, max_rows=max_rows)
+    return _score_pass(by_position(docs), position(docs, text_col), model, threshold).toDF(*docs.columns)
