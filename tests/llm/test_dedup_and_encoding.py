@@ -270,29 +270,3 @@ def test_encoding_and_decoding_tables(spark, library):
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert list(r.ids) == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
     assert bpe.encode_digests(df.limit(0), TOKENIZER, ["doc_id"]).count() == 0
-
-
-# ---- pipeline ----
-
-
-def test_pipeline_stages_against_their_operators(spark):
-    import corpus_pipeline
-    from tests.llm.test_scans import overlaps_by_hand
-
-    sf = "/root/testdata/sf0.001"
-    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
-    start = read("documents")
-    stages = dict(corpus_pipeline.STAGES)
-    good = stages["quality"](spark, start, sf)
-    scores = {r.doc_id: r.predicted for r in quality_gam.score_quality(start, read("labels")).collect()}
-    assert {r.doc_id for r in good.collect()} == {i for i, p in scores.items() if p}
-    one = stages["near_duplicates"](spark, good, sf)
-    kept = sorted(good.collect(), key=lambda r: r.doc_id)
-    roots = components_by_hand([fingerprint_by_hand(r.text) for r in kept])
-    assert sorted(r.doc_id for r in one.collect()) == [kept[i].doc_id for i in sorted(set(roots))]
-    clean = stages["decontaminate"](spark, one, sf)
-    items = [(r.item_id, r.text) for r in read("benchmark").collect()]
-    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in one.collect() if not overlaps_by_hand(r.text, items)[3]}
-    safe = stages["secrets"](spark, clean, sf)
-    assert safe.schema == start.schema and safe.count() == clean.count() and safe.where("n_chars != length(text)").count() == 0
-    assert corpus_pipeline.run(spark, sf).count() == safe.count()

@@ -15,7 +15,13 @@ white space are encoded apart, the short ones through a bounded cache.
 Decoding.  Token ids go through a state machine that turns bytes into text as they come and
 holds back at most the three bytes of an unfinished character.
 
-A null or empty text has no tokens.  Rows are independent: repeats and ties need no rule.
+A null or empty text has no tokens.  Very long texts go through in pieces; only their ids are
+kept, if asked for.  Rows are independent: repeats and ties need no rule.  An empty table gives
+an empty result.  Columns may have any names; the one that ids or texts are written to replaces
+a column of its name.
+
+The tokenizer's file is read by the driver and broadcast as bytes (a few MB, whatever the input),
+so executors need not have it.
 """
 
 from __future__ import annotations
@@ -24,14 +30,19 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer
 
+from tillroll.llm._common import by_position, position
+
 #: The White_Space characters, as the split pattern's \s has them.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CACHE_ENTRIES, WORD_ENTRIES, PAIR_ENTRIES, CACHE_CHARS, PIECE_CHARS = 120_000, 250_000, 250_000, 64, 1 << 18
@@ -150,9 +161,8 @@ class _Cache(dict):
 class Codec:
     """Encoder and decoder of one tokenizer file with word ends: byte-level BPE over split, lower-cased text."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, raw: bytes) -> None:
+        spec = json.loads(raw)
         model, self.vocab = spec["model"], dict(spec["model"]["vocab"])
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
@@ -174,7 +184,7 @@ class Codec:
         self.words = _Cache(self._word, WORD_ENTRIES)
         # Which characters are letters, and their lower case, differ between versions of Unicode;
         # beyond the Latin blocks, which no version changes, the library's own tables decide.
-        rules = Tokenizer.from_file(path)
+        rules = Tokenizer.from_buffer(raw)
         self.normal, self.pieces = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
 
     def _words(self, text: str) -> Iterator[bytes]:
@@ -281,25 +291,36 @@ def digests(codec: Codec, decoder: Decoder, text: str | None, ids: list[bytes] |
     return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[bytes, Codec] = {}
 
 
-def load(path: str) -> Codec:
+def codec_of(raw: bytes) -> Codec:
     """One codec a worker process and file."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    key = hashlib.sha256(raw).digest()
+    if key not in _CODECS:
+        _CODECS[key] = Codec(raw)
+    return _CODECS[key]
+
+
+def load(path: str) -> Codec:
+    return codec_of(Path(path).read_bytes())
+
+
+def _shipped(spark: SparkSession, path: str) -> Broadcast:
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
 def encode_digests(df: DataFrame, path: str, keep: list[str], text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Columns ``keep``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of each row's whole text."""
-    kept = df.select(*keep, df[text_col].alias("_text"))
-    schema = StructType([f for f in kept.schema if f.name != "_text"]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    held = [f"_c{i}" for i in range(len(keep))]
+    kept = by_position(df).select(*(F.col(position(df, c)).alias(h) for c, h in zip(keep, held, strict=True)), F.col(position(df, text_col)).alias("_text"))
+    schema = StructType(list(kept.schema)[:-1]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
+    file = _shipped(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path)
+        codec = codec_of(file.value)
         decoder = codec.decoder()
         for batch in batches:
             found, ids = [], []
@@ -309,10 +330,10 @@ def encode_digests(df: DataFrame, path: str, keep: list[str], text_col: str = "t
                 if with_ids:
                     ids.append(np.frombuffer(b"".join(own), "<i4"))
             made = zip(*found, strict=True) if found else ((), (), ())
-            cols = [batch.column(c) for c in keep] + [pa.array(list(x), t) for x, t in zip(made, (pa.int64(), pa.string(), pa.string()), strict=True)]
+            cols = [batch.column(c) for c in held] + [pa.array(list(x), t) for x, t in zip(made, (pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*cols, *([_lists(ids)] if with_ids else [])], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*keep, *schema.names[len(keep) :])
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -320,32 +341,39 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, "i4")))
 
 
+def _replaced(df: DataFrame, col: str, kind: object) -> tuple[list[int], StructType, list[str]]:
+    """Which columns of df stay beside a new one, the schema of both by position, and the names that they get."""
+    stay = [k for k, c in enumerate(df.columns) if c.lower() != col.lower()]
+    schema = StructType([by_position(df).schema[k] for k in stay]).add("_new", kind)
+    return stay, schema, [*(df.columns[k] for k in stay), col]
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the token ids of each text as an array column."""
-    schema = StructType([f for f in df.schema if f.name != ids_col]).add(ids_col, ArrayType(IntegerType()))
-    names = [n for n in schema.names if n != ids_col]
+    stay, schema, names = _replaced(df, ids_col, ArrayType(IntegerType()))
+    text, file = position(df, text_col), _shipped(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path)
+        codec = codec_of(file.value)
         for batch in batches:
-            ids = [np.frombuffer(b"".join(codec.encode(x.as_py())), "<i4") for x in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), _lists(ids)], names=[*names, ids_col])
+            ids = [np.frombuffer(b"".join(codec.encode(x.as_py())), "<i4") for x in batch.column(text)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in stay), _lists(ids)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return by_position(df).mapInArrow(run, schema).toDF(*names)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded", surface: bool = True) -> DataFrame:
     """Add the text of each array of token ids; a null array gives an empty text."""
-    schema = StructType([f for f in df.schema if f.name != text_col]).add(text_col, "string")
-    names = [n for n in schema.names if n != text_col]
+    stay, schema, names = _replaced(df, text_col, "string")
+    ids, file = position(df, ids_col), _shipped(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = load(path).decoder(surface)
+        decoder = codec_of(file.value).decoder(surface)
         for batch in batches:
             out = []
-            for x in batch.column(ids_col):
+            for x in batch.column(ids):
                 decoder.reset()
                 out.append(decoder.feed(np.asarray(x.as_py() or [], "<u4").tobytes(), True))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.string())], names=[*names, text_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in stay), pa.array(out, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return by_position(df).mapInArrow(run, schema).toDF(*names)

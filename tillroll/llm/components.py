@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm._common import staged
+from tillroll.llm._common import discard, staged
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -45,7 +45,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = staged(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, staged(_small_star(_large_star(edges)), "edges")
+        discard(last)
         now = _print(edges)
         if now == before:
             break

@@ -1,6 +1,8 @@
-"""Near copies of texts by the Jaccard similarity of their word shingles: MinHash candidates, verified exactly.
+"""Near copies of texts by the Jaccard similarity of their word shingles: SimHash and MinHash candidates, verified exactly.
 
-Every distinct text emits ``BANDS`` hashes of ``ROWS`` minima each.  A pair at the threshold of
+Two texts at a similarity of 0.8 differ in 10 of 64 SimHash bits on average, and ball hashing up
+to that radius would emit 8 million variants a text.  So SimHash's links within its radius are
+only the first candidates, and MinHash finds the rest.  Every distinct text emits ``BANDS`` hashes of ``ROWS`` minima each.  A pair at the threshold of
 0.8 shares none with a probability of (1 - 0.8 ** 6) ** 40, about five in a million; everything
 else is exact: candidates are verified on the shingles themselves, with ``5 * common >= 4 * all``.
 
@@ -14,7 +16,9 @@ are those of all verified pairs.
 
 Texts have A-Z lower-cased and words between white space; under ``shingle`` words make one
 shingle, and texts without words (empty or null) are copies of each other.  Copies, told by
-64 bits of their words, collapse before anything is emitted.
+64 bits of their words, collapse before anything is emitted.  Very long texts are read whole.
+Repeated rows and ids are copies; a null id stays only where its component has no other.  Ties go
+to the row read first.  An empty table gives an empty result.  Columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 from pyspark.sql.window import Window
 
-from tillroll.llm._common import staged
+from tillroll.llm._common import by_position, discard, position, staged
 from tillroll.llm.components import components
+from tillroll.llm.simhash import links, without
 
 ROWS, BANDS, CHUNK = 6, 40, 1 << 11
 _RANDOM = np.random.default_rng(42)
@@ -69,22 +74,31 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def with_bands(df: DataFrame, keep: list[str], text_col: str, shingle: int = 5) -> DataFrame:
-    """Columns ``keep``, ``key`` of the text's words, its number ``n`` of distinct shingles, and its ``bands``."""
+    """Columns ``keep``, ``key`` of the text's words, its number ``n`` of distinct shingles, their SimHash ``fp``, and its ``bands``."""
     kept = df.select(*keep, F.col(text_col).alias("_text"))
-    schema = StructType([f for f in kept.schema if f.name != "_text"]).add("key", LongType()).add("n", IntegerType()).add("bands", ArrayType(LongType()))
+    schema = StructType(list(kept.schema)[:-1]).add("key", LongType()).add("n", IntegerType()).add("fp", LongType()).add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, found = [], [], []
+            keys, sizes, prints, found = [], [], [], []
             for x in batch.column("_text"):
                 words = _words(x.as_py())
                 hashes = shingles(words, shingle)
                 keys.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
                 sizes.append(len(hashes))
+                prints.append(simhash(hashes))
                 found.append(bands(hashes))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), lists], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
@@ -127,12 +141,12 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _links(groups: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Edges that hold the components of all similar pairs together; groups are (band, key, n, m) with m members."""
+def _links(groups: DataFrame, close: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Edges that hold the components of all similar pairs together; groups are (band, key, n, m) with m members, close are candidates (a, b)."""
     alike = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
     company = groups.groupBy("key").agg(F.sum("m").alias("company"))
     lead = groups.join(company, "key").groupBy("band").agg(F.max(F.struct("company", "key", "n")).alias("x")).select("band", F.col("x.key").alias("head"), F.col("x.n").alias("head_n"))
-    tried = staged(groups.join(lead, "band").where((F.col("key") != F.col("head")) & alike("n", "head_n")).select(*_pair("key", "head")).distinct(), "tried")
+    tried = staged(groups.join(lead, "band").where((F.col("key") != F.col("head")) & alike("n", "head_n")).select(*_pair("key", "head")).union(close).distinct(), "tried")
     first = staged(_verified(tried, texts, shingle), "links")
     rooted = groups.where("m > 2").join(components(first).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("c"))
@@ -145,19 +159,29 @@ def _links(groups: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return first.union(second)
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def _close(distinct: DataFrame, radius: int) -> DataFrame:
+    """Candidate pairs of keys: texts whose SimHashes are linked, each print standing for its least key, and the other keys of a print with that."""
+    least = distinct.groupBy("fp").agg(F.min("key").alias("key"))
+    same = distinct.join(least.withColumnRenamed("key", "head"), "fp").where("key != head").select(*_pair("key", "head"))
+    apart = links(distinct.select("fp"), radius).join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(*_pair("x", "y"))
+    return same.union(apart)
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2) -> DataFrame:
     """The rows of df, of each component of similar texts only the one with the least id; of repeats of that id, any one."""
-    held = [F.col(c).alias(f"_k{i}") for i, c in enumerate(df.columns)]
-    keep = ["_id", *(f"_k{i}" for i in range(len(held)))]
-    text = f"_k{df.columns.index(text_col)}"
-    rows = staged(with_bands(df.select(F.col(id_col).alias("_id"), *held), keep, text, shingle).withColumn("_rid", F.monotonically_increasing_id()), "bands")
+    docs, text = staged(by_position(df).withColumn("_rid", F.monotonically_increasing_id()), "rows"), position(df, text_col)
+    read = docs.select("_rid", F.col(position(df, id_col)).alias("_id"), text)
+    rows = staged(with_bands(read, ["_rid", "_id"], text, shingle), "bands")
     distinct = rows.join(rows.groupBy("key").agg(F.min("_rid").alias("_rid")), ["_rid", "key"], "left_semi")
     emitted = distinct.select("key", "n", F.explode("bands").alias("band"))
     groups = staged(emitted.withColumn("m", F.count("*").over(Window.partitionBy("band"))).where("m > 1").select("band", "key", "n", "m"), "groups")
-    near = groups.select("key").distinct()
-    texts = staged(distinct.join(near, "key", "left_semi").select("key", text), "texts")
-    linked = components(_links(groups, texts, shingle)).withColumnRenamed("node", "key")
+    close = staged(_close(distinct.select("key", "fp"), radius), "close")
+    near = staged(groups.select("key").union(close.select("a")).union(close.select("b")).distinct().join(distinct.select("key", "_rid"), "key"), "near")
+    texts = staged(docs.select("_rid", text).join(near, "_rid").select("key", text), "texts")
+    linked = components(_links(groups, close, texts, shingle)).withColumnRenamed("node", "key")
     order = F.struct(F.col("_id").isNull(), "_id", "_rid")
     least = rows.groupBy("key").agg(F.min(order).alias("o"))
     first = least.join(linked, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("o")["_rid"].alias("_rid"))
-    return rows.join(first, "_rid", "left_semi").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(df.columns)))
+    out = without(docs, rows, first).toDF(*df.columns)
+    discard(rows, groups, close, near, texts, linked)
+    return out

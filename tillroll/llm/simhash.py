@@ -11,8 +11,10 @@ Copies collapse to one fingerprint before anything is emitted.
 
 Texts have A-Z lower-cased and words between white space; fewer than ``shingle`` words make one
 shingle of all, and a text without words (empty or null) has fingerprint zero, which is linked
-like any other.  Repeated rows and repeated ids link as copies do; a null id is a row like
-others, but no component is named after it unless it has no other.
+like any other.  Very long texts are read whole, in chunks.  Repeated rows and repeated ids link
+as copies do; a null id is a row like others, but no component is named after it unless it has
+no other.  Ties: a bit set in just half of the hashes is 0.  An empty table gives an empty
+result.  Columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillroll.llm._common import staged
+from tillroll.llm._common import by_position, position, staged
 from tillroll.llm.components import components
 
 CHUNK = 1 << 15
@@ -50,8 +52,8 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def with_fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3, out_col: str = "fp") -> DataFrame:
     """Columns ``keep`` and the fingerprint as a signed long."""
-    kept = df.select(*keep, df[text_col].alias("_text"))
-    schema = StructType([f for f in kept.schema if f.name != "_text"]).add(out_col, "long")
+    kept = df.select(*keep, F.col(text_col).alias("_text"))
+    schema = StructType(list(kept.schema)[:-1]).add(out_col, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,27 +79,41 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return beside.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def _named(df: DataFrame, id_col: str, text_col: str, keep: list[str], radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """The rows, staged as (_rid, _id, _k0.., fp), and (fp, root, component_id) of each fingerprint."""
-    held = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
-    prints = with_fingerprints(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *held), ["_id", *(f"_k{i}" for i in range(len(keep)))], "_t", shingle)
+def _named(df: DataFrame, keep: list[str], text: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Of df with column _id, the rows staged as (_rid, _id, keep, _fp), without texts, and (_fp, root, component_id) of each fingerprint."""
+    prints = with_fingerprints(df, ["_id", *keep], text, shingle, "_fp")
     rows = staged(prints.withColumn("_rid", F.monotonically_increasing_id()), "prints")
-    distinct = rows.groupBy("fp").agg(F.min("_id").alias("least"))
-    linked = components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return rows, rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    distinct = rows.groupBy("_fp").agg(F.min("_id").alias("least"))
+    linked = components(links(distinct.withColumnRenamed("_fp", "fp"), radius)).select(F.col("node").alias("_fp"), "root")
+    rooted = distinct.join(linked, "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
+    return rows, rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("_fp", "root", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, radius: int = 2, shingle: int = 3) -> DataFrame:
     """Per row: the columns ``keep`` (the id if None), ``fp`` and ``component_id``, the least id that links reach."""
     keep = [id_col] if keep is None else keep
-    rows, named = _named(df, id_col, text_col, keep, radius, shingle)
-    return rows.join(named, "fp").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "fp", "component_id")
+    held = [f"_c{i}" for i in range(len(keep))]
+    docs = by_position(df).select(F.col(position(df, id_col)).alias("_id"), *(F.col(position(df, c)).alias(h) for c, h in zip(keep, held, strict=True)), F.col(position(df, text_col)).alias("_t"))
+    rows, named = _named(docs, held, "_t", radius, shingle)
+    return rows.join(named, "_fp").select(*(F.col(h).alias(c) for h, c in zip(held, keep, strict=True)), F.col("_fp").alias("fp"), "component_id")
+
+
+def without(df: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of df, staged with column _rid, whose _rid is in first.
+
+    Those that go are staged first, as ids, so their size is known when they are joined: while it
+    is under the session's broadcast threshold no text is shuffled.
+    """
+    gone = staged(rows.select("_rid").join(first, "_rid", "left_anti"), "gone")
+    return df.join(gone, "_rid", "left_anti").drop("_rid")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
     """The rows of df, of each component only the one with the least id; of repeats of that id, any one."""
-    rows, named = _named(df, id_col, text_col, df.columns, radius, shingle)
+    docs = staged(by_position(df).withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    read = docs.select(F.col(position(df, id_col)).alias("_id"), F.col("_rid").alias("_row"), F.col(position(df, text_col)).alias("_t"))
+    rows, named = _named(read, ["_row"], "_t", radius, shingle)
+    rows = rows.drop("_rid").withColumnRenamed("_row", "_rid")
     order = F.struct(F.col("_id").isNull(), "_id", "_rid")
-    first = rows.select("_rid", "_id", "fp").join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order)["_rid"].alias("_rid"))
-    return rows.join(first, "_rid", "left_semi").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(df.columns)))
+    first = rows.join(named.select("_fp", "root"), "_fp").groupBy("root").agg(F.min(order)["_rid"].alias("_rid"))
+    return without(docs, rows, first).toDF(*df.columns)
