@@ -6,7 +6,8 @@ as the next stage's docs; ``run`` does the same in the shared folder.
 
 1. quality: drops rows that the classifier scores below 0.3;
 2. near_duplicates: of each component of texts with a five-word Jaccard similarity of 0.8 or more
-   keeps the row with the least doc_id;
+   keeps the row with the least doc_id; SimHash's links come first, MinHash widens them, for the
+   former alone finds few pairs at that similarity;
 3. decontaminate: drops rows that hold a span of a benchmark item;
 4. secrets: replaces secrets in the texts, and sets n_chars anew;
 5. encode: token ids of each text.
@@ -46,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", benchmark_decontamination), ("secrets", secrets), ("encode", encode)]
-#: The classifier and the minima are beyond SQL; tests hold the stages against brute force.
+#: The classifier and the token ids are beyond SQL; tests hold all stages against brute force.
 ORACLE_SQL = None
 
 
