@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word between the six ASCII white-space characters.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of two numbers that a join may broadcast, about 64 bytes each in memory.
+MAX_IDS = 1_000_000
 #: Tables that this session has put in its catalog, for ``clean_up``.
 _TABLES: set[str] = set()
 
@@ -66,6 +68,11 @@ def staged_table(df: DataFrame, key: str, n: int) -> DataFrame:
     return spark.table(name)
 
 
+def sized(ids: DataFrame, most: int = MAX_IDS) -> DataFrame:
+    """A staged frame of ids, to be broadcast if it has at most so many rows; else the optimizer chooses."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

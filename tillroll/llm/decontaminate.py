@@ -11,7 +11,8 @@ marks its words.  That is exact: every shared window lies in the run around its
 
 Short items get fingerprints of windows of their own length, so they are found as surely.
 
-The items' fingerprints and their surroundings are measured first.  Up to ``max_bytes`` of them
+Of a document's grams only those go further whose hash is set in a small table of bits of the
+items' grams.  The items' fingerprints and their surroundings are measured first.  Up to ``max_bytes`` of them
 they are broadcast, and documents' texts are never shuffled.  Beyond that documents' fingerprints
 are shuffled to them, without texts, and candidates meet their document's words by row id.  Both
 ways give the same rows.
@@ -29,18 +30,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm._common import ascii_lower, by_position, discard, position, staged
+from tillroll.llm._common import ascii_lower, by_position, discard, position, sized, staged
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The items' side is broadcast up to this many bytes, words and their overhead in memory counted.
 MAX_BYTES = 64 << 20
 #: A fingerprint holds 40 bits of a gram's hash above this many of its place, so that of equal hashes the last is the least.
 _PLACE = 24
 _ITSELF = -1
+#: A table of so many bits, by hash, tells which grams may be an item's; its size is fixed, and the more items there are the less it spares.
+_SLOTS = 1 << 20
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    # Far cheaper than regexp_extract_all, which makes a match object of each word.
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
 def _bound(value: str, name: str, body: str) -> str:
@@ -53,8 +57,19 @@ def _around(at: str, span: str, reach: str) -> str:
     return f"reverse(slice(_w, greatest({at} - {reach} + 1, 1), least({at}, {reach}))) as before, slice(_w, {at} + 1, {span}) as after"
 
 
-def _fingerprints(df: DataFrame, span: int, k: int, out: str, around: bool = True) -> DataFrame:
-    """Add ``out``: an array of (key, at) and the words around, for the kept grams of the windows of span words of column ``_w``."""
+def _bits(ctx: DataFrame) -> str:
+    """The table of bits of the items' grams, as a constant array."""
+    slot = F.shiftright("key", 10).bitwiseAND(_SLOTS - 1)
+    words_ = ctx.select(slot.alias("s")).distinct().groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
+    held = {r.w: r.b for r in words_.collect()}  # at most _SLOTS / 64 numbers
+    return "cast(split('" + ",".join(str(held.get(w, 0)) for w in range(_SLOTS // 64)) + "', ',') as array<bigint>)"
+
+
+def _fingerprints(df: DataFrame, span: int, k: int, out: str, around: bool = True, bits: str | None = None) -> DataFrame:
+    """Add ``out``: an array of (key, at) and the words around, for the kept grams of the windows of span words of column ``_w``.
+
+    With bits only for grams that may be an item's.
+    """
     k, low = min(k, span), (1 << _PLACE) - 1
     gram = f"xxhash64(x{''.join(f', get(_w, i + {j})' for j in range(1, k))})"
     grams = f"transform(slice(_w, 1, size(_w) - {k - 1}), (x, i) -> shiftleft(shiftright({gram}, {_PLACE}), {_PLACE}) + ({low} - (i & {low})))"
@@ -65,7 +80,9 @@ def _fingerprints(df: DataFrame, span: int, k: int, out: str, around: bool = Tru
     key = f"shiftright(x, {_PLACE}) * 1024L + {span}"
     place = f"cast(i + pmod({low} - (x & {low}) - i, {low + 1}) as int)"
     struct = _bound(place, "p", f"struct({key} as key, p as at{', ' + _around('p', str(span), str(span - k)) if around else ''})")
-    found = f"array_compact(transform({name}, (x, i) -> case when i = 0 or x <> get({name}, i - 1) then {struct} end))"
+    slot = f"(shiftright(x, {_PLACE}) & {_SLOTS - 1})"
+    known = f"and (shiftright(get({bits}, cast(shiftright({slot}, 6) as int)), cast({slot} & 63 as int)) & 1L) = 1" if bits else ""
+    found = f"array_compact(transform({name}, (x, i) -> case when (i = 0 or x <> get({name}, i - 1)) {known} then {struct} end))"
     for n, step in reversed(list(enumerate(steps))):
         found = _bound(f"transform(slice(g{n}, 1, size(g{n}) - {step}), (x, i) -> least(x, get(g{n}, i + {step})))", f"g{n + 1}", found)
     found = _bound(grams, "g0", found)
@@ -111,9 +128,9 @@ def _hits(rows: DataFrame, names: list[str], ctx: DataFrame, lengths: list[int],
     small = _bytes(ctx) <= max_bytes
     if not small:
         rows = staged(rows, "words")
-    spread = rows
+    spread, bits = rows, _bits(ctx)
     for length in lengths:
-        spread = _fingerprints(spread, length, k, f"_f{length}", small)
+        spread = _fingerprints(spread, length, k, f"_f{length}", small, bits)
     each = [F.col(f"_f{n}") for n in lengths]
     # Outer generators, for from inner ones the optimizer infers a filter that evaluates the hashes again.
     if small:
@@ -155,13 +172,13 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 4, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of docs without a hit.
 
-    Hits are staged as ids and digests of texts, so their size is known when the rows are joined
-    to them: while it is under the session's broadcast threshold no text is shuffled.
+    Hits are staged as ids and two hashes of texts, 128 bits, and counted: while they are few
+    enough to be broadcast no text is shuffled.
     """
     rows, i, text = by_position(docs), position(docs, id_col), position(docs, text_col)
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    digest = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), F.col(text)))
     ctx, of_item, lengths = _surroundings(items, item_id_col, item_text_col, span, k)
     discard(of_item)
     read = rows.select(F.col(i).alias("_i"), digest.alias("_d"), words(F.col(text)).alias("_w")).withColumn("_rid", F.monotonically_increasing_id())
-    found = _hits(read, ["_i", "_d"], ctx, lengths, k, max_bytes, False).select("_i", "_d").distinct()
+    found = sized(staged(_hits(read, ["_i", "_d"], ctx, lengths, k, max_bytes, False).select("_i", "_d").distinct(), "contaminated"))
     return rows.join(found, F.col(i).eqNullSafe(F.col("_i")) & (digest == F.col("_d")), "left_anti").toDF(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillroll.llm._common import by_position, position, staged
+from tillroll.llm._common import by_position, position, sized, staged
 from tillroll.llm.components import components
 
 CHUNK = 1 << 15
@@ -101,11 +101,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def without(df: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
     """The rows of df, staged with column _rid, whose _rid is in first.
 
-    Those that go are staged first, as ids, so their size is known when they are joined: while it
-    is under the session's broadcast threshold no text is shuffled.
+    Those that go are staged first, as ids, and counted: while they are few enough to be broadcast
+    no text is shuffled.
     """
     gone = staged(rows.select("_rid").join(first, "_rid", "left_anti"), "gone")
-    return df.join(gone, "_rid", "left_anti").drop("_rid")
+    return df.join(sized(gone), "_rid", "left_anti").drop("_rid")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
