@@ -33,7 +33,7 @@ def rows_for_secrets():
     word = lambda n, s="abcdefgh01234567ABCD": "".join(rng.choice(s) for _ in range(n))
     shared = [word(40) for _ in range(3)]
     rows = [(0, None, "a"), (1, "", "a"), (2, "plain é😀 text", None)]
-    forms = ['k = "{}"', "Bearer {} x", "https://user:{}@host.example/x", "client_key: {}", "é {} é", "token={} token={}", "ghp_{0}{0}", "'{}' \"{}\""]
+    forms = ['k = "{}"', "Bearer {} x", "https://user:{}@host.example/x", "client_key: {}", "é {} é", "token={} token={}", "PASSWORD : '{}'", "Passwd={}", "API_KEY={} apikey:{}", "Credentials = {}", "ghp_{0}{0}", "'{}' \"{}\""]
     for i in range(3, 120):
         values = [rng.choice(shared) if rng.random() < 0.3 else word(rng.randint(10, 45)) for _ in range(4)]
         rows.append((i // 2, " ".join(rng.choice(forms).format(v, v) for v in values), rng.choice([None, "a", "b", "c", "d", "e"])))

@@ -50,13 +50,26 @@ KINDS = (
 )
 #: A value of these kinds counts only if it has both letters and this many digits, and one of PLAIN_HEX only if it isn't all of the kind hex.
 MIXED, DIGITS, PLAIN_HEX = ("beside", "quoted", "random"), 4, ("random",)
-#: Any text without a match of this has no candidate of any kind.
-ANY = r"(?i:passw|secret|token|api_?key|pwd|pass|credential|auth|signature|access.key|private.key|client.key|bearer)|AKIA|[0-9a-f]{16}|gh[pousr]_|xox[abprs]-|[sr]k_live_|[A-Za-z0-9+/_=-]{20}|://[^\x00-\x20/@]{1,64}:[^\x00-\x20:/@]{4,128}@"
+#: What a text must have for a kind, cheap to test: a long enough run, tried only where it begins; a word before a sign; a literal.
+_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{15}"
+_KEYED = r"(?=[PpSsTtAaCc])(?i:(?:passw|secret|token|api_?key|pwd|pass|credential|auth|signature|access.key|private.key|client.key)[a-z]{0,3})[\"']?\x20*[:=]"
+_LITERALS = {"jwt": "eyJ", "pem": "PRIVATE KEY", "login": "://", "bearer": "earer "}
 _PARTS = "array<struct<rank:int,gaps:array<int>,sizes:array<int>,hashes:array<string>>>"
 _SPANS = "array<struct<start:int,rank:int,stop:int,kind:string,base:boolean,live:boolean>>"
 BLOCK = 4096
 
 
+def _guard(text: Column, kind: str) -> Column:
+    if kind in ("assign", "beside"):
+        return (F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))) & text.rlike(_KEYED)
+    return F.contains(text, F.lit(_LITERALS[kind])) if kind in _LITERALS else text.rlike(_RUN)
+
+
+def _suspect(text: Column) -> Column:
+    """Whether a text may have a candidate of any kind."""
+    return _guard(text, "hex") | _guard(text, "assign") | _guard(text, "jwt") | _guard(text, "pem") | _guard(text, "login") | _guard(text, "bearer")
+
+
 def _matches(text: Column, rank: int) -> Column:
     """Lengths between and of one kind's matches, and the hashes of the values that count; null where there are none."""
     kind, pattern, group, least, _ = KINDS[rank]
@@ -73,14 +86,17 @@ def _matches(text: Column, rank: int) -> Column:
 
     # regexp_extract_all and split agree on matches: both go from left to right and never overlap.
     parts = F.struct(F.lit(rank).alias("rank"), F.transform(F.split(text, pattern, -1), F.length).alias("gaps"), F.transform(whole, F.length).alias("sizes"), F.transform(value, hashed).alias("hashes"))
-    return F.when(text.rlike(pattern), parts)
+    there = text.rlike(pattern if kind != "random" else _RUN.replace("15", str(least)))
+    return F.when(F.col("_" + (kind if kind in _LITERALS else "keyed" if kind in ("assign", "beside") else "run")) & there, parts)
 
 
 def _scanned(docs: DataFrame, text: str) -> DataFrame:
     """docs with ``_parts``, an array with an entry for each kind that occurs, and a fixed ``_rid``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    parts = F.when(t.rlike(ANY), F.array_compact(F.array(*(_matches(t, k) for k in range(len(KINDS)))))).otherwise(F.array()).cast(_PARTS)
-    return docs.withColumn("_parts", parts).withColumn("_rid", F.monotonically_increasing_id())
+    flags = {"_run": _guard(t, "hex"), "_keyed": _guard(t, "assign")} | {f"_{k}": _guard(t, k) for k in _LITERALS}
+    found = F.array_compact(F.array(*(_matches(t, k) for k in range(len(KINDS)))))
+    parts = F.when(F.greatest(*flags), found).otherwise(F.array()).cast(_PARTS)
+    return docs.withColumns(flags).withColumn("_parts", parts).drop(*flags).withColumn("_rid", F.monotonically_increasing_id())
 
 
 def _candidates(rows: DataFrame, *cols: str) -> DataFrame:
@@ -161,7 +177,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", repo_col: str = "doc_i
     """
     docs, text = by_position(df), position(df, text_col)
     t = F.coalesce(F.col(text), F.lit(""))
-    some = staged(_scanned(docs.select("*", *_owned(df, repo_col, owner_col)).where(t.rlike(ANY)), text), "redact")
+    some = staged(_scanned(docs.select("*", *_owned(df, repo_col, owner_col)).where(_suspect(t)), text), "redact")
     base = F.col("rank").isin([r for r, k in enumerate(KINDS) if k[4]])
     cut = _judged(some.select("_rid", "_repo", "_owner", "_parts"), max_owners).where(base | F.col("live"))
     before = Window.partitionBy("_rid").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,4 +191,4 @@ def redact_secrets(df: DataFrame, text_col: str = "text", repo_col: str = "doc_i
     kept = F.transform("_cuts", lambda x, i: _piece(F.col("_blocks"), F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["b"]), x["a"]))
     rest = _piece(F.col("_blocks"), F.element_at("_cuts", -1)["b"], F.length(t))
     done = done.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.array_join(F.array_append(kept, rest), mark)))
-    return docs.where(~t.rlike(ANY)).unionByName(done.select(*docs.columns)).toDF(*df.columns)
+    return docs.where(~_suspect(t)).unionByName(done.select(*docs.columns)).toDF(*df.columns)
