@@ -139,19 +139,22 @@ def _overlaps_sql() -> str:
 
 def _quality_rules_sql() -> str:
     word, blank = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
-    furniture = " or ".join(f"contains(lower(line), {_quoted(p)})" for p in quality_rules.BOILERPLATE)
+    ends, signs = _quoted(quality_rules.ENDS), _quoted(quality_rules.SIGNS)
+    furniture, menu = _quoted(quality_rules.FURNITURE), _quoted(quality_rules.MENU_LINE)
     return rf"""
     with t as (select doc_id, coalesce(text, '') as text from documents),
     w as (select doc_id, regexp_extract_all(text, '{word}') as words from t),
     grams as (select doc_id, i, (words[i], words[i + 1], words[i + 2]) as g from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w where len(words) >= 3)),
     twice as (select doc_id, g from grams group by doc_id, g having count(*) > 1),
     covered as (select doc_id, count(distinct i + o) as n_repeat_words from (select doc_id, i from grams join twice using (doc_id, g)), (values (0), (1), (2)) as v(o) group by doc_id),
-    lines as (select doc_id, unnest(string_split(text, chr(10))) as line from t),
-    good as (select doc_id, line, len(regexp_extract_all(line, '{word}')) as n, len(regexp_extract_all(line, '[#*$%&|<>»]')) as s,
-                    len(regexp_extract_all(line || ' ', '[!?]{{2,}}{blank}')) as b, length(regexp_replace(line, '{blank}', '', 'g')) as c, ({furniture}) as f
-             from lines where regexp_matches(line, '{word}')),
-    per_doc as (select doc_id, count(*) - count(distinct line) as n_dup_lines, count(*) filter (bad) as n_failed_lines, coalesce(sum(c) filter (bad), 0)::bigint as lost_chars
-                from (select *, (n >= 5 and (s > 0.3 * n or b > 0.3 * n)) or (n <= 12 and f) as bad from good) group by doc_id),
+    lines as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as k from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) as ls from t)),
+    facts as (select doc_id, line, k, len(regexp_extract_all(line, '{word}')) as n, len(regexp_extract_all(line, '[#*$%&|<>»«›‹→←•·]')) as s, len(regexp_extract_all(line || ' ', '[!?]{{2,}}{blank}')) as b,
+                     length(regexp_replace(line, '{blank}', '', 'g')) as c, regexp_matches(line, {ends}) as e, regexp_matches(line, {signs}) as sign, regexp_matches(lower(line), {menu}) as menu, regexp_matches(lower(line), {furniture}) as f from lines),
+    openings as (select *, n < 5 and not e as o from facts),
+    runs as (select *, sum(o::int) over (partition by doc_id order by k rows between 2 preceding and current row) as r0, sum(o::int) over (partition by doc_id order by k rows between 1 preceding and 1 following) as r1,
+                    sum(o::int) over (partition by doc_id order by k rows between current row and 2 following) as r2 from openings),
+    judged as (select *, (n >= 5 and (not e or s > 0.3 * n or b > 0.3 * n)) or (o and (sign or menu or r0 = 3 or r1 = 3 or r2 = 3)) or (n <= 12 and f) as bad from runs),
+    per_doc as (select doc_id, count(*) - count(distinct line) as n_dup_lines, count(*) filter (bad) as n_failed_lines, coalesce(sum(c) filter (bad), 0)::bigint as lost_chars from judged group by doc_id),
     base as (select t.doc_id, len(words) as n_words, length(regexp_replace(text, '{blank}', '', 'g')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
                     coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_failed_lines, 0) as n_failed_lines, coalesce(lost_chars, 0) as lost_chars
              from t join w using (doc_id) left join covered using (doc_id) left join per_doc using (doc_id))
