@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.base import field, let, missing, plain_digits
 
+#: Patterns of dates and times of day; months by the first letters of their names.
 ISO = r"(?U)\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
 NUMERIC = r"(?U)\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})\b"
 NAMED = r"(?U)\b(\d{1,2})\s+([A-Za-z]+)\.?\s+(\d{2,4})\b|\b([A-Za-z]+)\.?\s+(\d{1,2}),?\s+(\d{2,4})\b"
 TIME = r"(?U)\b(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])?\b"
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
 
 
 def _group(text: Column, pattern: str, k: int) -> Column:
@@ -48,8 +49,7 @@ def _of_line(x: Column) -> Column:
     iso = let(_parts(y=_group(t, ISO, 1), m=_group(t, ISO, 2), d=_group(t, ISO, 3)), dated)
 
     def month(name: Column) -> Column:
-        spot = F.instr(F.lit(_MONTHS), F.substring(name, 1, 3))
-        return F.when((F.length(name) >= 3) & (spot % 3 == 1), ((spot + 2) / 3).cast("int"))
+        return F.coalesce(*(F.when(F.startswith(name, F.lit(start)), F.lit(number)) for start, number in MONTHS.items()))
 
     day_first = F.regexp_extract(t, NAMED, 2) != ""
     pick = lambda a, b: F.when(day_first, F.regexp_extract(t, NAMED, a)).otherwise(F.regexp_extract(t, NAMED, b))

@@ -56,16 +56,19 @@ def brightness_contrast(a, r):
 
 
 def shadow(a, r):
-    h, w = a.shape
-    x0, x1 = sorted(r.uniform(0, w, 2))
-    y, x = np.mgrid[:h, :w]
-    return _clip(np.where((x >= x0 * (1 - y / h)) & (x <= x1 + (w - x1) * y / h), a * 0.45, a))
+    """A soft band, darkest in its middle, where 55 % of the brightness is gone."""
+    w = a.shape[1]
+    start, width = int(r.uniform(0, 0.6 * w)), max(1, int(r.uniform(0.2 * w, 0.5 * w)))
+    away = np.abs(np.arange(w) - start - width / 2) / (width / 2)
+    return _clip(a * (1 - 0.55 * np.maximum(0, 1 - away)))
 
 
 def perspective_warp(a, r):
+    """Corners move by up to 8 % of the shorter side."""
     h, w = a.shape
     corners = np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float)
-    return warp(a, homography(corners, corners + r.uniform(-0.08, 0.08, (4, 2)) * [w, h]), h, w)
+    most = 0.08 * min(h, w)
+    return warp(a, homography(corners, corners + r.uniform(-most, most, (4, 2))), h, w)
 
 
 def crop(a, r):
@@ -79,14 +82,19 @@ def low_contrast_fade(a, r):
 
 
 def wrinkle_warp(a, r):
+    """Both axes are displaced by waves of 4 pixels along the other one."""
     y, x = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
-    return _sample(a, x, y + 4 * np.sin(2 * np.pi * x / 40 + r.uniform(0, 2 * np.pi)))
+    across, down = r.uniform(0, 2 * np.pi, 2)
+    wave = lambda t, phase: 4 * np.sin(2 * np.pi * t / 40 + phase)
+    return _sample(a, x + wave(y, across), y + wave(x, down))
 
 
 def thermal_streak(a, r):
-    out = a.astype(float)
-    for x in r.integers(0, max(1, a.shape[1] - 5), 3):
-        out[:, x : x + 5] = 255 - (255 - out[:, x : x + 5]) * 0.3
+    """Three bands across the picture, up to 3 % of its height, faded to 30 to 80 % of their ink."""
+    h, out = a.shape[0], a.astype(float)
+    for _ in range(3):
+        top, high, left = int(r.uniform(0, h)), int(r.uniform(2, max(3, 0.03 * h))), r.uniform(0.3, 0.8)
+        out[top : top + high] = 255 - (255 - out[top : top + high]) * left
     return _clip(out)
 
 

@@ -17,7 +17,7 @@ _CASES = """cases as (select event_type as language, 'd' || (user_id % 3) as deg
     (event_id * 71 % 128) / 128.0 as normalized_edit_distance, case when event_id % 5 != 0 then event_id % 2 = 0 end as merchant_match, event_id % 3 = 0 as date_exact_match, event_id % 4 = 0 as total_exact_match, (event_id % 64)::double as elapsed_ms from events)"""
 _MEASURES = """count(*) as n, count(error) as n_errors, round(avg(cer), 4) as mean_cer, round(avg(wer), 4) as mean_wer, round(avg(normalized_edit_distance), 4) as mean_ned, round(avg(merchant_match::double), 4) as merchant_rate,
     round(avg(date_exact_match::double), 4) as date_rate, round(avg(total_exact_match::double), 4) as total_rate, round(avg(elapsed_ms), 1) as mean_elapsed_ms"""
-_MATRIX = "m(code, script, rtl, model_supported, receipt_verified, mandatory) as (values " + ", ".join(f"('{c}', '{s}', {r}, {u}, {v}, {d})" for c, s, r, u, v, d in matrix.rows()) + ")"
+_MATRIX = "m(code, name, script, rtl, model_supported, receipt_verified, mandatory) as (values " + ", ".join(f"('{c}', '{n}', '{s}', {r}, {u}, {v}, {d})" for c, n, s, r, u, v, d, _ in matrix.rows()) + ")"
 _VALUE = """case when t like '%,%' and t like '%.%' then try_cast(case when instr(reverse(t), '.') < instr(reverse(t), ',') then replace(t, ',', '') else replace(replace(t, '.', ''), ',', '.') end as double)
     when length(regexp_replace(t, '[^.,]', '', 'g')) = 1 then case when length(regexp_extract(t, '[.,]([^.,]*)$', 1)) = 3 then null when length(regexp_extract(t, '[.,]([^.,]*)$', 1)) in (1, 2, 4, 5, 6) then replace(t, ',', '.')::double else try_cast(t as double) end
     when t like '%,%' or t like '%.%' then case when regexp_full_match(t, '[^.,]*([.,][^.,]{3})+') then regexp_replace(t, '[.,]', '', 'g')::double end else t::double end"""
