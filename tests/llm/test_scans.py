@@ -85,10 +85,12 @@ def judged_by_hand(url, rules):
     return host, path, best and best.host + best.path, best.verdict if best else "allow"
 
 
-@pytest.mark.parametrize("how", ["trie", "join"])
+@pytest.mark.parametrize("how", ["trie", "join", "trie of a table", "join of a table"])
 def test_urls(spark, how):
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
-    got = url_filter.judge_urls(df, RULES, max_trie_chars=10**6 if how == "trie" else 0)
+    df = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(URLS)], "page_id long, url string, rule string, _found string")
+    rules = spark.createDataFrame([tuple(r) for r in RULES], url_filter.RULES) if "table" in how else RULES
+    got = url_filter.judge_urls(df, rules, max_trie_chars=10**6 if "trie" in how else 0)
+    assert got.columns == ["page_id", "url", "_found", "host", "path", "rule", "verdict"]
     for r in got.collect():
         assert (r.host, r.path, r.rule, r.verdict) == judged_by_hand(URLS[r.page_id], RULES)
     assert got.count() == len(URLS)

@@ -10,17 +10,21 @@ after as many windows as a window has grams).  Segments with one content are cou
 repeated: the windows of a segment found twice are repeated, and one of it stands for all.
 Only keys with several contents, or with a gram that comes twice in one segment, need sorting.
 
-Their segments go, whole keys together, into blocks of bounded size, and each block gets a
-suffix array (``two_stage_order``): suffixes smaller than their successors are sorted directly,
-the others are induced from them by scans over the buckets of first bytes.  Neighbours in the
-array with a common prefix of ``length`` are repeated windows.
-
-A key with very many contents (a common line in many surroundings) is no block for one task.
-Beyond ``GROUP_BYTES`` its single windows' digests are counted instead, pre-aggregated, which
-gives the same answer.
-
-Null texts are empty; texts under ``length`` bytes have no
-window; repeated rows are copies and lose every byte if they are long enough.
+Their segments go into blocks of at most ``GROUP_BYTES``, and each block gets a suffix array
+(``two_stage_order``): suffixes smaller than their successors are sorted directly, the others are
+induced from them by scans over the buckets of first bytes.  Neighbours in the array with a
+common prefix of ``length`` are repeated windows.  A key whose segments fill more than a block (a
+common line in many surroundings) is dealt to several by content; what sorting has collapsed in
+each of them, one row for every different window, is then merged by 128-bit digests over that
+key's blocks.
+
+So exact copies and shared passages are settled where whole segments are equal, by 64-bit key and
+64-bit digest, and the suffix arrays decide the rest; README has the shares.
+
+Null texts are empty; texts under ``length`` bytes have no window; very long texts are read whole,
+one at a time.  Repeated rows are copies and lose every byte if they are long enough; null ids are
+rows like others.  Ties need no rule: equal windows all go, the first one too.  An empty table
+gives an empty result.  Columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillroll.llm._common import parallel, release, staged, staging_path
+from tillroll.llm._common import by_position, discard, parallel, position, release, staged, staged_table
 
 LENGTH, GRAM = 200, 32
-#: A key's distinct segments up to this size are sorted in one block; blocks are no larger.
+#: Blocks that are sorted at once are about this large at most.
 GROUP_BYTES = 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -120,21 +124,25 @@ def common_prefix(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray
     return out
 
 
-def repeated_starts(segments: list[bytes], times: list[int], length: int) -> list[np.ndarray]:
-    """For each segment, at which of its windows a repeated string starts; times: how often a segment occurs."""
+def sorted_windows(segments: list[bytes], times: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of the segments, in sorted order: segment, place in it, number of its class of equal ones, and how often the class occurs; times: how often a segment does."""
     sizes = np.array([len(s) for s in segments])
     text = np.frombuffer(b"".join(segments), np.uint8)
     ends = np.cumsum(sizes)
     order = two_stage_order(text, length)
     owner = np.searchsorted(ends, order, side="right")
-    whole = order + length <= ends[owner]  # no match crosses a segment's end
     equal = common_prefix(text, order, length) >= length
+    whole = order + length <= ends[owner]  # no match crosses a segment's end
     group = np.cumsum(~equal)
-    weight = np.where(whole, np.asarray(times)[owner], 0)
-    hit = whole & (np.bincount(group, weight, group[-1] + 1 if len(group) else 0)[group] >= 2)
-    flags = np.zeros(len(text), bool)
-    flags[order[hit]] = True
-    return [np.flatnonzero(flags[e - z : e]) for e, z in zip(ends, sizes, strict=True)]
+    weight = np.bincount(group, np.where(whole, np.asarray(times)[owner], 0), group[-1] + 1 if len(group) else 0)
+    return owner[whole], (order - (ends - sizes)[owner])[whole], group[whole], weight[group[whole]].astype(np.int64)
+
+
+def repeated_starts(segments: list[bytes], times: list[int], length: int) -> list[np.ndarray]:
+    """For each segment, at which of its windows a repeated string starts."""
+    owner, place, _, weight = sorted_windows(segments, times, length)
+    again = weight >= 2
+    return [np.sort(place[again & (owner == k)]) for k in range(len(segments))]
 
 
 # ---- keys and segments ----------------------------------------------------------------------
@@ -226,88 +234,74 @@ def _segment_rows(length: int, gram: int):
     return run
 
 
-def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and number of each run of consecutive integers."""
-    heads = np.flatnonzero(np.append(True, starts[1:] != starts[:-1] + 1)) if len(starts) else np.zeros(0, int)
-    return starts[heads], np.diff(np.append(heads, len(starts)))
+_SORTED = ("key", "content", "first", "windows", "lo", "hi", "times")
 
 
-_FOUND = "key long, content long, first long, windows long"
+def _digest128(data: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _sort_blocks(length: int):
-    """From (key, content, c, bytes), whole keys one after another, to (key, content, first, windows) of repeated windows."""
+def _sort_blocks(length: int, group_bytes: int):
+    """From (key, part, shared, content, c, bytes), whole parts one after another, to _SORTED.
 
-    def solve(block: list[tuple]) -> pa.RecordBatch:
-        keys, contents, times, segs = zip(*block, strict=True)
-        out: list[list] = [[], [], [], []]
-        for k, c, starts in zip(keys, contents, repeated_starts(list(segs), list(times), length), strict=True):
-            for first, n in zip(*_runs(starts), strict=True):
-                for column, v in zip(out, (k, c, int(first), int(n)), strict=True):
-                    column.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["key", "content", "first", "windows"])
+    A row without a digest is a run of repeated windows.  A key with several parts is shared; it
+    also has a row with a digest for each of its different windows, and this one's place if it
+    isn't known to be repeated.
+    """
+
+    def solve(block: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, _, shared, contents, times, segs = zip(*block, strict=True)
+        owner, place, group, weight = sorted_windows(list(segs), list(times), length)
+        again = weight >= 2
+        out: list[tuple] = []
+        by = np.lexsort((place[again], owner[again]))
+        at, where = owner[again][by], place[again][by]
+        heads = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (where[1:] != where[:-1] + 1))) if len(at) else np.zeros(0, int)
+        for head, n in zip(heads.tolist(), np.diff(np.append(heads, len(at))).tolist(), strict=True):
+            out.append((keys[at[head]], contents[at[head]], int(where[head]), n, None, None, None))
+        if any(shared):
+            _, one = np.unique(group, return_index=True)
+            for k, p, w in zip(owner[one].tolist(), place[one].tolist(), weight[one].tolist(), strict=True):
+                if shared[k]:
+                    known = w >= 2
+                    out.append((keys[k], None if known else contents[k], None if known else p, 1, *_digest128(segs[k][p : p + length]), min(w, 2)))
+        for a in range(0, len(out), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[a : a + 50_000], strict=True)], names=list(_SORTED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, group, size, group_size = [], [], 0, 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "c", "bytes")), strict=True):
-                if group and group[-1][0] != row[0]:
-                    if block and size + group_size > GROUP_BYTES:
-                        yield solve(block)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "shared", "content", "c", "bytes")), strict=True):
+                if group and group[-1][:2] != row[:2]:
+                    if block and size + group_size > group_bytes:
+                        yield from solve(block)
                         block, size = [], 0
                     block.extend(group)
                     size, group, group_size = size + group_size, [], 0
                 group.append(row)
-                group_size += len(row[3])
-        if block and size + group_size > GROUP_BYTES:
-            yield solve(block)
+                group_size += len(row[5])
+        if block and size + group_size > group_bytes:
+            yield from solve(block)
             block = []
         if block or group:
-            yield solve(block + group)
-
-    return run
-
-
-def _window_rows(length: int):
-    """From (key, content, c, bytes) to (key, content, first, c, lo, hi), the digest of every window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "content", "first", "c", "lo", "hi"]
-        out: list[list] = [[] for _ in names]
-        for batch in batches:
-            for key, content, c, raw in zip(*(batch.column(n).to_pylist() for n in ("key", "content", "c", "bytes")), strict=True):
-                for first in range(len(raw) - length + 1):
-                    d = hashlib.blake2b(raw[first : first + length], digest_size=16).digest()
-                    for column, v in zip(out, (key, content, first, c, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)), strict=True):
-                        column.append(v)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=names)
-                    out = [[] for _ in names]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=names)
+            yield from solve(block + group)
 
     return run
 
 
 def repeated_windows(segs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """From distinct segments (key, content, c, bytes), the runs (key, content, first, windows) of repeated windows."""
-    sized = segs.groupBy("key").agg(F.sum(F.length("bytes")).alias("size"))
-    hot = sized.where(F.col("size") > group_bytes).select("key")
-    split = segs.join(hot, "key", "left_semi").mapInArrow(_window_rows(length), "key long, content long, first long, c long, lo long, hi long")
-    twice = split.groupBy("lo", "hi").agg(F.sum("c").alias("s")).where("s >= 2").select("lo", "hi")
-    by_count = split.join(twice, ["lo", "hi"]).select("key", "content", "first", F.lit(1).cast("long").alias("windows"))
-    whole = segs.join(hot, "key", "left_anti").repartition(parallel(segs.sparkSession), "key").sortWithinPartitions("key")
-    return whole.mapInArrow(_sort_blocks(length), _FOUND).unionByName(by_count)
-
-
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """df as a table in the shared folder whose files are dealt by key, so that joins on it shuffle the other side only."""
-    spark = df.sparkSession
-    path = staging_path(spark, "texts")
-    name = "tillroll_" + path.rsplit("-", 1)[1]
-    n = parallel(spark)
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    # Half a block a part, for parts are dealt by hash and some get more.
+    sized = segs.groupBy("key").agg(F.ceil(F.sum(F.length("bytes")) / group_bytes).cast("int").alias("n"))
+    parts = F.when(F.col("n") > 1, F.pmod("content", 2 * F.col("n"))).otherwise(0)
+    dealt = segs.join(sized, "key").select("key", parts.alias("part"), (F.col("n") > 1).alias("shared"), "content", "c", "bytes")
+    blocks = dealt.repartition(parallel(segs.sparkSession), "key", "part").sortWithinPartitions("key", "part")
+    done = staged(blocks.mapInArrow(_sort_blocks(length, group_bytes), ", ".join(f"{n} long" for n in _SORTED)), "sorted")
+    merged = done.where("lo is not null")
+    twice = merged.groupBy("lo", "hi").agg(F.sum("times").alias("s")).where("s >= 2").select("lo", "hi")
+    across = merged.where("content is not null").join(twice, ["lo", "hi"])
+    return done.where("lo is null").select(*_SORTED[:4]).unionByName(across.select(*_SORTED[:4]))
 
 
 def _cut(keep: list[str], length: int):
@@ -343,32 +337,36 @@ def _cut(keep: list[str], length: int):
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per row: the columns ``keep`` (doc_id if None), n_bytes, n_removed, n_spans and ``kept``, the remaining bytes (which may part a character)."""
+    """Per row: the columns ``keep`` (doc_id if None), n_bytes, n_removed, n_spans and ``kept``, the remaining bytes (which may part a character).
+
+    The result reads a table of the texts in the session's catalog; ``clean_up`` drops it.
+    """
     keep = ["doc_id"] if keep is None else keep
-    held = [f"_k{i}" for i in range(len(keep))]
-    spark = df.sparkSession
-    texts = _bucketed(df.select(*(F.col(c).alias(h) for c, h in zip(keep, held, strict=True)), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id()), "rid")
-    release(spark)
+    held = [f"_c{i}" for i in range(len(keep))]
+    docs = by_position(df).select(*(F.col(position(df, c)).alias(h) for c, h in zip(keep, held, strict=True)), F.coalesce(F.col(position(df, text_col)), F.lit("")).alias("text"))
+    texts = staged_table(docs.withColumn("rid", F.monotonically_increasing_id()), "rid", parallel(df.sparkSession))
+    release(df.sparkSession)
     segs = staged(texts.select("rid", "text").mapInArrow(_segment_rows(length, gram), "rid long, start long, n long, key long, content long, times long"), "segments")
     keys = segs.groupBy("key").agg(F.sum("times").alias("t"), F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("t >= 2")
     keys = keys.select("key", ((F.col("lo") == F.col("hi")) & (F.col("c") >= 2)).alias("whole"))
     hits = staged(segs.join(keys, "key").drop("times"), "hits")
-    release(spark)
+    discard(segs)
+    release(df.sparkSession)
     some = hits.where("not whole")
     rep = F.min(F.struct("rid", "start", "n")).alias("r")
     distinct = some.groupBy("key", "content").agg(F.count("*").alias("c"), rep).select("key", "content", "c", "r.rid", "r.start", "r.n")
     take = F.expr(f"substring(cast(text as binary), cast(start + 1 as int), cast(n + {length - 1} as int))")
     pieces = staged(distinct.join(texts.select("rid", "text"), "rid").select("key", "content", "c", take.alias("bytes")), "pieces")
-    release(spark)
+    release(df.sparkSession)
     found = repeated_windows(pieces, length).groupBy("key", "content").agg(F.collect_list(F.struct("first", "windows")).alias("f"))
     inner = some.join(found, ["key", "content"]).select("rid", "start", F.explode("f").alias("f"))
     spans = hits.where("whole").select("rid", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + length - 1).alias("b")).alias("x"))
     spans = spans.unionByName(inner.select("rid", F.struct((F.col("start") + F.col("f.first")).alias("a"), (F.col("start") + F.col("f.first") + F.col("f.windows") + length - 1).alias("b")).alias("x")))
     per_row = spans.groupBy("rid").agg(F.collect_list("x").alias("spans"))
+    discard(pieces)
     joined = texts.join(per_row, "rid", "left").select(*held, "text", "spans")
-    kinds = {f.name: f for f in joined.schema}
-    schema = StructType([kinds[h] for h in held])
+    schema = StructType(list(joined.schema)[: len(held)])
     for name in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(name, "long")
     cut = joined.mapInArrow(_cut(held, length), schema.add("kept", "binary"))
-    return cut.select(*(F.col(h).alias(c) for c, h in zip(keep, held, strict=True)), "n_bytes", "n_removed", "n_spans", "kept")
+    return cut.toDF(*keep, "n_bytes", "n_removed", "n_spans", "kept")

@@ -6,8 +6,15 @@ longer path.  Where no rule fits, the default verdict stands.
 
 The host is what stands between the first ``://`` and the next ``/``, ``?``, ``#`` or the end,
 with A-Z lower-cased; the path is what follows up to ``?``, ``#`` or the end.  A null URL or
-one without ``://`` has an empty host and path, fits no rule and gets the default verdict.
-Repeated rows are judged alike; extra columns are kept.
+one without ``://`` has an empty host and path, fits no rule and gets the default verdict.  Very
+long URLs are read whole.  Repeated rows are judged alike, and null ids are rows like others.
+Ties: of two rules with one host and path, block wins.  An empty table gives an empty result, and
+without rules every URL gets the default verdict.  Extra columns are kept, whatever their names;
+those named host, path, rule and verdict are replaced.
+
+Rules are a list, or a DataFrame (verdict, host, path) of any size.  While their characters, and
+so the trie, are within a bound, the trie is broadcast; beyond it both sides are joined, on hashed
+pairs of a host suffix and a path's beginning, with the rules' side unique in every join.
 """
 
 from __future__ import annotations
@@ -16,14 +23,16 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tillroll.llm._common import UPPER
+from tillroll.llm._common import UPPER, by_position, position
 
-#: A rule list up to this many characters is broadcast as a trie; a longer one is joined.
-MAX_TRIE_CHARS = 32_000_000
+#: Rules up to this many characters, their number counted eight times, are broadcast as a trie: nodes take some
+#: hundred bytes a label or segment, so a worker holds a few dozen MB at most.  More are joined.
+MAX_TRIE_CHARS = 1_000_000
+RULES = "verdict string, host string, path string"
 
 
 class Rule(NamedTuple):
@@ -92,20 +101,31 @@ _SPLIT = StructType([StructField("rule", StringType()), StructField("verdict", S
 def split_url(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Add ``host`` and ``path``; columns of these names are replaced."""
     url = F.coalesce(F.col(url_col), F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(coalesce(`{url_col}`, ''), instr(coalesce(`{url_col}`, ''), '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, UPPER.lower())
     return df.withColumns({"host": host, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
 
 
-def judge_urls(df: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow", max_trie_chars: int = MAX_TRIE_CHARS) -> DataFrame:
-    """Add ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``.
+def _weight(rules: list[Rule] | DataFrame) -> int:
+    """Characters of all rules and eight more for each."""
+    if isinstance(rules, DataFrame):
+        return rules.select(F.coalesce(F.sum(F.length("host") + F.length("path") + 8), F.lit(0))).first()[0]
+    return sum(len(r.host) + len(r.path) + 8 for r in rules)
 
-    The rules come as a list, so their size is known: up to ``max_trie_chars`` the trie is
-    broadcast, beyond it ``judge_urls_joined`` does the same with a join.
-    """
-    if sum(len(r.host) + len(r.path) for r in rules) > max_trie_chars:
+
+def _split(df: DataFrame, url_col: str) -> tuple[DataFrame, list[str], list[str]]:
+    """df by position with host and path, the columns that stay, and their names."""
+    stay = [k for k, c in enumerate(df.columns) if c.lower() not in ("host", "path", "rule", "verdict")]
+    docs = split_url(by_position(df), position(df, url_col))
+    return docs, [f"_k{k}" for k in stay], [df.columns[k] for k in stay]
+
+
+def judge_urls(df: DataFrame, rules: list[Rule] | DataFrame, url_col: str = "url", default: str = "allow", max_trie_chars: int = MAX_TRIE_CHARS) -> DataFrame:
+    """Add ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``."""
+    if _weight(rules) > max_trie_chars:
         return judge_urls_joined(df, rules, url_col, default)
-    trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
+    listed = [Rule(*r) for r in rules.select("verdict", "host", "path").collect()] if isinstance(rules, DataFrame) else rules  # bounded above
+    trie = df.sparkSession.sparkContext.broadcast(Trie(listed))
 
     @F.pandas_udf(_SPLIT)
     def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -114,25 +134,32 @@ def judge_urls(df: DataFrame, rules: list[Rule], url_col: str = "url", default:
             found = [look(h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": [r and r.host + r.path for r in found], "verdict": [r.verdict if r else default for r in found]}, dtype=object)
 
-    out = split_url(df, url_col).withColumn("_found", find("host", "path"))
-    return out.withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
+    docs, held, names = _split(df, url_col)
+    return docs.withColumn("_found", find("host", "path")).select(*held, "host", "path", "_found.rule", "_found.verdict").toDF(*names, "host", "path", "rule", "verdict")
+
+
+def _rule_table(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame([tuple(r) for r in rules], RULES)
+    return table.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
 
 
-def judge_urls_joined(df: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
-    """The same for rule lists too large to broadcast.
+def judge_urls_joined(df: DataFrame, rules: list[Rule] | DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
+    """The same for rules too many to broadcast.
 
-    Distinct pairs of host and path are looked up once, so copies of one URL cost nothing; each
-    emits its host's suffixes, which are joined to the rules' hosts.
+    Distinct pairs of host and path are looked up once, so copies of one URL cost nothing.  Each
+    emits its host's suffixes, which meet the lengths of that host's rule paths, one row a host;
+    then the path's beginnings of these lengths, which meet the rules, one row a host and path.
     """
-    spark = df.sparkSession
-    table = spark.createDataFrame([tuple(r) for r in rules], "verdict string, r_host string, r_path string")
-    table = table.groupBy("r_host", "r_path").agg(F.max("verdict").alias("r_verdict"))
-    parts = split_url(df, url_col)
+    table = _rule_table(df.sparkSession, rules)
+    lengths = table.groupBy("r_host").agg(F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths"))
+    parts, held, names = _split(df, url_col)
     hosts = parts.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    fits = hosts.withColumn("r_host", suffix).join(table, "r_host").where(F.col("path").startswith(F.col("r_path")))
-    best = F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("v")), F.struct(F.length("r_host"), F.length("r_path")))
+    near = hosts.withColumn("r_host", suffix).join(lengths, "r_host")
+    tried = near.select("host", "path", "r_host", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")).withColumn("r_path", F.expr("substring(path, 1, n)"))
+    fits = tried.join(table, ["r_host", "r_path"])
+    best = F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("v")), F.struct(F.length("r_host"), "n"))
     found = fits.groupBy("host", "path").agg(best.alias("_found"))
-    out = parts.join(found, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("_found.rule"), "verdict": F.coalesce("_found.v", F.lit(default))}).drop("_found")
+    out = parts.join(found, ["host", "path"], "left").select(*held, "host", "path", "_found.rule", F.coalesce("_found.v", F.lit(default)).alias("verdict"))
+    return out.toDF(*names, "host", "path", "rule", "verdict")
