@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 from pyspark.sql.window import Window
 
-from tillroll.llm._common import by_position, discard, position, staged
+from tillroll.llm._common import by_position, discard, position, sized, staged
 from tillroll.llm.components import components
 from tillroll.llm.simhash import links, without
 
@@ -177,7 +177,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     groups = staged(emitted.withColumn("m", F.count("*").over(Window.partitionBy("band"))).where("m > 1").select("band", "key", "n", "m"), "groups")
     close = staged(_close(distinct.select("key", "fp"), radius), "close")
     near = staged(groups.select("key").union(close.select("a")).union(close.select("b")).distinct().join(distinct.select("key", "_rid"), "key"), "near")
-    texts = staged(docs.select("_rid", text).join(near, "_rid").select("key", text), "texts")
+    texts = staged(docs.select("_rid", text).join(sized(near), "_rid").select("key", text), "texts")
     linked = components(_links(groups, close, texts, shingle)).withColumnRenamed("node", "key")
     order = F.struct(F.col("_id").isNull(), "_id", "_rid")
     least = rows.groupBy("key").agg(F.min(order).alias("o"))
