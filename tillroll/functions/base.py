@@ -59,6 +59,11 @@ def first(lines: Column, test) -> Column:
     return F.get(F.filter(lines, test), F.lit(0))
 
 
+def all_lines(lines: Column, words: Iterable[str]) -> Column:
+    """Indices of the numbered lines that contain one of the words."""
+    return F.transform(F.filter(lines, lambda x: contains_any(x["l"], words)), lambda x: x["i"])
+
+
 def plain_digits(text: Column) -> Column:
     """ASCII digits for those of other scripts."""
     return F.translate(text, "".join(chr(z + d) for z in _ZEROS for d in range(10)), "0123456789" * len(_ZEROS))

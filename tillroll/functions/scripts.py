@@ -25,23 +25,36 @@ def char_script(c: Column) -> Column:
     return out.otherwise(UNKNOWN)
 
 
+#: Stretches of characters of one kind: a script, common ones, or others.
+_TOKENS = r"(?U)" + "|".join([rf"\p{{Is{name}}}+" for name, _ in SCRIPTS] + [r"[\s\p{IsCommon}\p{IsInherited}]+", r"[^\s\p{IsCommon}\p{IsInherited}" + "".join(rf"\p{{Is{name}}}" for name, _ in SCRIPTS) + "]+"])
+_PLAIN = r"(?U)^[\s\p{IsCommon}\p{IsInherited}\p{IsLatin}]*\p{IsLatin}[\s\p{IsCommon}\p{IsInherited}\p{IsLatin}]*$"
+
+
 def script_runs(text: Column) -> Column:
-    """array<struct<script, start, end>>: common characters take the script before them, leading ones that after them."""
-    runs = F.array().cast("array<struct<script:string,start:int,end:int>>")
-
-    def step(acc: Column, c: Column) -> Column:
-        return let(F.struct(F.try_element_at(acc["runs"], F.lit(-1)).alias("last"), char_script(c).alias("k")), lambda x: grown(acc, x["last"], x["k"]))
-
-    def grown(acc: Column, last: Column, k: Column) -> Column:
-        n = acc["n"]
-        joins = (k == COMMON) | (k == last["script"]) | (last["script"] == COMMON)
-        new = F.struct(k.alias("script"), n.alias("start"), (n + 1).alias("end"))
-        longer = F.struct(F.when(last["script"] == COMMON, k).otherwise(last["script"]).alias("script"), last["start"].alias("start"), (n + 1).alias("end"))
-        fresh = last.isNull() | ~joins
-        head = F.when(fresh, acc["runs"]).otherwise(F.slice(acc["runs"], 1, F.greatest(F.size(acc["runs"]) - 1, F.lit(0))))
-        return F.struct((n + 1).alias("n"), F.array_append(head, F.when(fresh, new).otherwise(longer)).alias("runs"))
-
-    return F.aggregate(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), F.struct(F.lit(0).alias("n"), runs.alias("runs")), step)["runs"]
+    """array<struct<script, start, end>>: common characters take the script before them, leading ones that after them.
+
+    A text of Latin and common characters is one run; others are folded stretch by stretch, and
+    the array of runs grows only where the script changes.
+    """
+    none = F.array().cast("array<struct<script:string,start:int,end:int>>")
+    text = F.coalesce(text, F.lit(""))
+
+    def step(acc: Column, token: Column) -> Column:
+        return let(F.struct(char_script(F.substring(token, 1, 1)).alias("k"), (acc["n"] + F.length(token)).alias("n")), lambda x: grown(acc, x["k"], x["n"]))
+
+    def grown(acc: Column, k: Column, n: Column) -> Column:
+        # The open run is script from start to n; it is put away where another real script begins.
+        joins = acc["script"].isNull() | (k == COMMON) | (k == acc["script"]) | (acc["script"] == COMMON)
+        done = F.when(joins, acc["runs"]).otherwise(F.array_append(acc["runs"], F.struct(acc["script"], acc["start"], acc["n"].alias("end"))))
+        script = F.when(joins & (k == COMMON), F.coalesce(acc["script"], k)).otherwise(k)
+        return F.struct(n.alias("n"), script.alias("script"), F.when(joins, acc["start"]).otherwise(acc["n"]).alias("start"), done.alias("runs"))
+
+    def closed(x: Column) -> Column:
+        return F.when(x["script"].isNull(), x["runs"]).otherwise(F.array_append(x["runs"], F.struct(x["script"], x["start"], x["n"].alias("end"))))
+
+    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("script"), F.lit(0).alias("start"), none.alias("runs"))
+    folded = F.aggregate(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), zero, step, closed)
+    return F.when(text.rlike(_PLAIN), F.array(F.struct(F.lit("Latn").alias("script"), F.lit(0).alias("start"), F.length(text).alias("end")))).otherwise(folded)
 
 
 def dominant_scripts(runs: Column, min_run_length: int = 1) -> Column:

@@ -239,9 +239,9 @@ def preprocess(a: np.ndarray, mode: str = "auto", exif: int = 1) -> tuple[np.nda
     """Upright, flat, straight, judged, then cleaned as the mode says; what was done is in ``steps``."""
     steps = []
     if exif in range(2, 9):
-        a, steps = apply_orientation(a, exif), [*steps, "orientation"]
+        a, steps = apply_orientation(a, exif), [*steps, "exif_orientation"]
     if (corners := document_corners(a)) is not None:
-        a, steps = correct_perspective(a, corners), [*steps, "perspective"]
+        a, steps = correct_perspective(a, corners), [*steps, "perspective_correction"]
     a, angle = deskew(a)
     if abs(angle) > 0.1:
         steps.append("deskew")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tillroll.operators.extraction import SCALARS
 
 VERSION = "0.1.0"
+#: The keys of a result, in order; its modes and statuses.
+KEYS = ("schema_version", "engine", "engine_version", "mode", "image", "processing_time_ms", "languages", "scripts", "full_text", "text_lines", "warnings", "fields")
+MODES, STATUSES = ("fast", "accurate", "auto"), ("ok", "uncertain", "missing", "illegible", "truncated", "missing_region", "inferred_field")
 #: Limits of the image loader.
 MAX_BYTES, MAX_SIDE, MAX_PIXELS, FORMATS = 50 * 1024 * 1024, 20_000, 64_000_000, ("JPEG", "PNG", "BMP", "TIFF", "WEBP")
 
@@ -39,5 +42,22 @@ def fields_json(fields: Column) -> Column:
     return F.to_json(F.struct(*parts, rows.alias("line_items")))
 
 
-def error_json(code: Column, message: Column) -> Column:
-    return F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), F.struct(code.alias("code"), message.alias("message")).alias("error")))
+def _fields(fields: Column) -> Column:
+    rows = F.when(F.size(fields["line_items"]) > 0, fields["line_items"])
+    return F.struct(*(_scalar(fields[k]).alias(k) for k in SCALARS), rows.alias("line_items"))
+
+
+def result_json(result: dict[str, Column]) -> Column:
+    """The envelope of a result: twelve keys in fixed order; absent parts of lines and fields are left out."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    given = {
+        "schema_version": F.lit(VERSION), "engine": F.lit("none"), "engine_version": F.lit(""), "mode": F.lit("auto"), "image": F.struct(F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit("unknown").alias("format")),
+        "processing_time_ms": F.lit(0.0), "languages": none("struct<code:string,confidence:double>"), "scripts": none("string"), "full_text": F.lit(""), "text_lines": none("string"), "warnings": none("string"),
+    } | result
+    parts = [given[k].alias(k) for k in KEYS if k != "fields"]
+    return F.to_json(F.struct(*parts, _fields(given["fields"]).alias("fields")))
+
+
+def error_json(code: Column, message: Column, details: Column | None = None) -> Column:
+    error = [code.alias("code"), message.alias("message"), *([details.alias("details")] if details is not None else [])]
+    return F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), F.struct(*error).alias("error")))

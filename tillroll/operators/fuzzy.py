@@ -19,6 +19,14 @@ _PIECES = """flatten(transform(sequence({least}, {most}), size -> flatten(transf
     s -> struct(size, i, substring(t, i * size div (size div 5 + 1) + s + 1, (i + 1) * size div (size div 5 + 1) - i * size div (size div 5 + 1)) as piece))))))"""
 
 
+def fuzzy_join(left: DataFrame, right: DataFrame, col: str) -> DataFrame:
+    """(a, b) of the different values of col in left and in right with ``fuzzy_match``, equal ones included."""
+    x, y = (df.select(F.col(col)).where(F.col(col).isNotNull()).distinct() for df in (left, right))
+    pairs = similar_pairs(x.union(y), col)
+    mixed = pairs.join(x.select(F.col(col).alias("a")), "a", "left_semi").join(y.select(F.col(col).alias("b")), "b", "left_semi").select("a", "b")
+    return mixed.union(x.join(y, col).select(F.col(col).alias("a"), F.col(col).alias("b")))
+
+
 def similar_pairs(names: DataFrame, col: str) -> DataFrame:
     """(a, b) of all different values of ``col`` with ``fuzzy_match``, in both orders; null has no pair."""
     t = names.select(F.col(col).alias("a")).where("a is not null").distinct().withColumn("t", F.lower(strip(F.col("a"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,23 @@ def reading_order(boxes: Column, rtl: Column | None = None) -> Column:
     return F.flatten(F.transform(F.aggregate(ordered, none, place), across))
 
 
+def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], band: float = 50.0) -> DataFrame:
+    """Pairs of boxes (keys, id, y, height) on one page whose vertical overlap is more than half of the lower height: (keys, id, other).
+
+    An interval join without a cross join: each box goes to the bands of so many units that it
+    touches, boxes meet in bands, and a pair counts in the first band that both touch.  A box of no
+    height touches one band.
+    """
+    box = F.struct("y", "height")
+
+    def spread(df: DataFrame, name: str) -> DataFrame:
+        first, last = F.floor(F.col("y") / band), F.floor((F.col("y") + F.col("height")) / band)
+        return df.select(*keys, F.col("id").alias(name), box.alias(f"{name}_box"), first.alias(f"{name}_first"), F.explode(F.sequence(first, last)).alias("band"))
+
+    met = spread(left, "id").join(spread(right, "other"), [*keys, "band"])
+    return met.where((F.col("band") == F.greatest("id_first", "other_first")) & _overlaps(F.col("id_box"), F.col("other_box"))).select(*keys, "id", "other")
+
+
 def remap(evidence: Column, order: Column) -> Column:
     """Positions in reading order as indices of the original lines."""
     return F.transform(evidence, lambda i: F.get(order, i))

@@ -52,6 +52,14 @@ class Engine:
 
     name = "abstract"
 
+    @classmethod
+    def is_available(cls) -> bool:
+        return False
+
+    @classmethod
+    def supported_languages(cls) -> list[str]:
+        return []
+
     def recognize(self, lines: list[str], seed: int, rate: float) -> list[str]:
         raise NotImplementedError
 
@@ -64,6 +72,14 @@ class NoisyEngine(Engine):
 
     name = "noisy"
 
+    @classmethod
+    def is_available(cls) -> bool:
+        return True
+
+    @classmethod
+    def supported_languages(cls) -> list[str]:
+        return sorted(BANKS)
+
     def recognize(self, lines: list[str], seed: int, rate: float) -> list[str]:
         r = random.Random(seed)
         wrong = lambda c: r.choice(("", c + c, r.choice("abcdefghijklmnopqrstuvwxyz")))
@@ -79,6 +95,14 @@ def engine_of(name: str) -> Engine:
     return ENGINES[name]()
 
 
+def default_engine() -> str:
+    """The first engine that is available."""
+    for name, engine in ENGINES.items():
+        if engine.is_available():
+            return name
+    raise ValueError("UNSUPPORTED_BACKEND: no engine is available")
+
+
 def recognize(receipts: DataFrame, backend: str = "noisy", rate: float = 0.02) -> DataFrame:
     """(language, seed, lines) as an engine reads them."""
 

@@ -31,7 +31,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_c
     """
     counts = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(_grams(F.col(text_col))).alias("gram")).groupBy("gram", "lang").count()
     counts = counts.withColumn("all", F.sum("count").over(Window.partitionBy("gram")))
-    kept = counts.where(F.col("all") >= min_count).drop("all").cache()  # read four times, and far smaller than the texts
+    kept = counts.where(F.col("all") >= min_count).drop("all").persist()  # read four times, and far smaller than the texts
     langs = [r.lang for r in kept.select("lang").distinct().orderBy("lang").collect()]  # as many as there are languages
     totals = {r.lang: r.n for r in kept.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
     size = kept.select("gram").distinct().count()
@@ -42,6 +42,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_c
     return table.select("gram", (F.create_map(*scores) if langs else F.lit(None).cast("map<string,double>")).alias("scores"))
 
 
+def model_languages(model: DataFrame) -> DataFrame:
+    """(code) of every language that a model can tell."""
+    return model.select(F.explode(F.map_keys("scores")).alias("code")).distinct()
+
+
 def rank_lines(lines: DataFrame, model: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, code, probability) of each language for each line of 8 characters or more."""
     grams = lines.where(F.length(strip(F.col(text_col))) >= LEAST_CHARS).select(*keys, F.explode(_grams(strip(F.col(text_col)))).alias("gram"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillroll.functions import keywords
 from tillroll.operators import matrix, scoring
 
 _ITEMS = """items as (select l_orderkey as o_orderkey, l_linenumber, l_partkey, p_name as description, l_quantity::int as quantity, p_retailprice::decimal(18,2) as unit_price,
@@ -27,6 +28,7 @@ def _list(values) -> str:
     return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
 
 
+_GRAMS = "case when len(c) < 3 then [array_to_string(c, '')] else list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) end"
 _PLAN = f"""select l.language, s.sample::int as sample, d.degradation, (('0x' || substr(sha256(l.language || ':' || s.sample), 1, 16))::ubigint % 1000000)::bigint + 7 as seed
     from (select unnest({_list(scoring.LANGUAGES)}) as language) l, range(4) s(sample), (select unnest({_list(scoring.DEGRADATIONS)}) as degradation) d"""
 _CODE = "case code " + " ".join(f"when '{k}' then '{v}'" for k, v in scoring.TESSERACT.items()) + " else 'eng' end"
@@ -46,7 +48,10 @@ ORACLES = {
     "currency_vote": """with v(k, status, currency, n_lines) as (values (0, 'ok', 'USD', 2), (1, 'ok', 'EUR', 2), (2, 'ok', 'PKR', 1), (3, 'ok', 'AUD', 1), (4, 'uncertain', 'PKR|INR|LKR|NPR', 2), (5, 'ok', 'PKR', 2), (6, 'ok', 'AUD', 2), (7, 'ok', 'INR', 1))
         select o_orderkey, status, currency, n_lines::bigint as n_lines from orders join v on o_orderkey % 8 = k""",
     "merchant_payment_number": """select o_orderkey, 'R-' || o_orderkey as merchant, 'uncertain' as merchant_status, ['visa', 'cash', 'debit_card', 'cheque', null][1 + o_orderkey % 5] as payment, 'R-' || o_orderkey as number, 0.7::double as confidence from orders""",
-    "line_items_exploded": f"with {_ITEMS} select o_orderkey, description, quantity::double as quantity, unit_price::double as unit_price, item_total::double as item_total, 'ok' as status from items join orders using (o_orderkey)",
+    "line_items_exploded": f"""with {_RECEIPTS}, placed as (select i.*, row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, quantity, description || ' ' || quantity || ' ' || unit_price || ' ' || item_total) + 2 as line from items i join orders using (o_orderkey)),
+        heads as (select o_orderkey, 0 as line, merchant as t from receipts union all select o_orderkey, 1, nation from receipts)
+        select o_orderkey, line::int as line, description, quantity::double as quantity, 'ok' as quantity_status, unit_price::double as unit_price, item_total::double as item_total, 'ok' as status from placed
+        union all select o_orderkey, line::int, trim(regexp_extract(t, '^([^0-9]+)[0-9]', 1)), 1.0::double, 'inferred_field', null, regexp_extract(t, '([0-9]+)$', 1)::double, 'ok' from heads where regexp_matches(t, '^[^0-9]+[0-9]+$')""",
     "item_totals": f"with {_ITEMS} select 'uncertain' as status, 'inferred_field' as quantity_status, count(*) as n, round(sum(item_total + 1)::double, 2) as total, count(distinct (description, quantity, unit_price)) as n_named from items",
     "amount_tokens": f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[0-9][0-9.,]*[0-9]|[0-9]') as tokens from documents), e as (select doc_id, {_VALUE} as v from (select doc_id, unnest(tokens) as t from d)),
         n as (select doc_id, count(*) - count(v) as n_ambiguous from e group by 1) select doc_id, len(tokens) as n_tokens, coalesce(n_ambiguous, 0) as n_ambiguous, sha256(array_to_string(tokens, ' ')) as tokens_sha256 from d left join n using (doc_id)""",
@@ -59,8 +64,9 @@ ORACLES = {
     "char_error_rate": """with j as (select a.p_partkey, a.p_name as r, b.p_name as h from part a join part b on a.p_partkey = b.p_partkey + 1)
         select p_partkey, round(levenshtein(r, h) / length(r)::double, 6) as cer, round(levenshtein(r, h) / greatest(length(r), length(h), 1)::double, 6) as ned,
         round(((split_part(r, ' ', 1) != split_part(h, ' ', 1))::int + (split_part(r, ' ', 2) != split_part(h, ' ', 2))::int) / 2.0::double, 6) as wer from j""",
-    "fuzzy_names": """with n as (select p_name as name, count(*) as n, split_part(p_name, ' ', 1) as block from part group by 1)
-        select a.name, count(*) as n_near, sum(b.n)::bigint as n_rows from n a join n b using (block) where a.name != b.name and 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::double >= 0.8 group by 1""",
+    "fuzzy_names": """with t as (select distinct p_name as b from part), h as (select distinct substr(p_name, 1, (p_partkey % length(p_name))::int) || substr(p_name, (p_partkey % length(p_name))::int + 2) as a from part),
+        near as (select a, b, levenshtein(a, b) as d from h, t where 1 - levenshtein(trim(a), trim(b)) / greatest(length(trim(a)), length(trim(b)), 1)::double >= 0.8)
+        select a as name, count(*) as n_near, first(b order by d, b) as best from near group by a""",
     "fuzzy_names_whole": """with n as (select p_name as name, count(*) as n from part group by 1)
         select a.name, count(b.name) as n_near, coalesce(sum(b.n), 0)::bigint as n_rows from n a left join n b on a.name != b.name and 1 - levenshtein(lower(trim(a.name)), lower(trim(b.name))) / greatest(length(trim(a.name)), length(trim(b.name)), 1)::double >= 0.8 group by 1""",
     "words_to_lines": r"""with w as (select item_id, generate_subscripts(ws, 1) - 1 as k, unnest(ws) as t from (select item_id, regexp_split_to_array(text, '[ \n]') as ws from benchmark)), v as (select *, greatest((length(t) * 37) % 101 - 1, 0) / 100.0::double as c from w where trim(t) != '')
@@ -86,4 +92,26 @@ ORACLES = {
     "matrix_sets": f"with {_MATRIX}, p as (select distinct lang as code from documents union select unnest(['en', 'ur'])) select code, case when code in (select code from p) then 'installed' else 'missing' end as state from m where mandatory",
     "top_languages": """with d as (select source, lang, count(*) as c from documents group by 1, 2), s as (select *, round(c / sum(c) over (partition by source), 4) as confidence, row_number() over (partition by source order by c desc, lang) as p from d)
         select source, string_agg(lang, ',' order by p) filter (q <= 2) as languages, greatest(count(*) - 2, 0) as more from (select *, row_number() over (partition by source order by p) as q from s where confidence >= 0.05) group by 1""",
+    "row_overlaps": """with b as (select l_orderkey, (l_linenumber, l_partkey, l_suppkey, l_extendedprice) as id, l_linenumber as k, l_partkey % 90 * 1.0::double as y, l_linenumber % 4 * 15.0::double as h from lineitem)
+        select l_orderkey, count(*) as n, sum(a.k * 10 + c.k)::bigint as numbers from b a join b c using (l_orderkey) where a.id < c.id and least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y) > 0.5 * case when least(a.h, c.h) = 0 then 1.0 else least(a.h, c.h) end group by l_orderkey""",
+    "result_json": f"""with {_RECEIPTS}, t as (select *, merchant || chr(10) || nation || chr(10) || date || ' 14:35' || chr(10) || rows || 'SUBTOTAL ' || subtotal || chr(10) || 'TAX ' || tax || chr(10) || 'TOTAL ' || total || ' USD' as full_text from receipts)
+        select o_orderkey as doc_id, 'schema_version,engine,engine_version,mode,image,processing_time_ms,languages,scripts,full_text,text_lines,warnings,fields' as keys, sha256(full_text) as full_text_sha256, 6 + n_items as n_lines, 60.0::double as y, 'Latn' as first_script, null::varchar as date_script,
+        'Latn' as script, total::double as total, 'ok' as total_status, (5 + n_items)::int as total_line, date, null::varchar as discounts, merchant, 'auto' as mode from t""",
+    "envelope_problems": """select o_orderkey || case when o_orderkey % 6 = 5 then '-error' else '' end as name, case o_orderkey % 6 when 1 then 'mode' when 2 then 'text_lines' when 3 then 'json' when 4 then 'schema_version' when 5 then case when o_orderkey % 4 = 1 then '' else 'message' end else '' end as problems from orders""",
+    "image_headers": """with p as (select p_partkey, (p_partkey * 37) % 30000 as w, p_size * 200 as h, ['PNG', 'BMP', 'JPEG', 'TIFF', 'WEBP', 'GIF', null][1 + p_partkey % 7] as format from part),
+        q as (select p_partkey, format, case when format = 'WEBP' then greatest(w, 1) when format is not null then w end::bigint as width, case when format is not null then h end::bigint as height from p)
+        select *, case when format is null then 'decode_failed' when format = 'GIF' then 'unsupported_format' when width <= 0 or height <= 0 then 'decode_failed' when width > 20000 or height > 20000 then 'dimensions_too_large' when width * height > 64000000 then 'decompression_bomb_suspected' end as error from q""",
+    "document_scripts": r"""with t as (select doc_id, coalesce(text, '') as text from documents) select doc_id, case when regexp_matches(text, '\p{Latin}') then 'Latn' else '' end as scripts, case when text = '' then 0 else 1 end::bigint as n_runs, case when text != '' then length(text) end::int as first_end, false as rtl from t""",
+    "keyword_lines": f"""with l as (select doc_id, lower(t) as t, k - 1 as i from (select doc_id, unnest(ls) as t, generate_subscripts(ls, 1) as k from (select doc_id, string_split(text, chr(10)) as ls from documents))),
+        m as (select doc_id, i, {" or ".join(f"contains(t, '{w}')" for w in keywords.TOTAL + keywords.TAX + keywords.DISCOUNT)} as hit, contains(t, 'licen') or contains(t, 'password') or contains(t, 'token') as word from l)
+        select d.doc_id, count(i) filter (hit) as n_lines, min(i) filter (hit)::int as first_line, coalesce(string_agg(i::varchar, ',' order by i) filter (hit), '') as lines, min(i) filter (word)::int as first_word from documents d left join m using (doc_id) group by d.doc_id""",
+    "dedup_first": """with l as (select doc_id, unnest(ls) as t, generate_subscripts(ls, 1) as k from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)), f as (select doc_id, t, min(k) as k from l group by doc_id, t)
+        select doc_id, count(*) as n_lines, sha256(string_agg(t, chr(10) order by k)) as lines_sha256 from f group by doc_id""",
+    "document_languages": f"""with d as (select lang, regexp_extract_all(lower(text), '(?s).') as c from documents where lang is not null and text is not null), g as (select lang, unnest({_GRAMS}) as gram from d),
+        n as (select gram, lang, count(*) as c from g group by all), k as (select * from n qualify sum(c) over (partition by gram) >= 3), totals as (select lang, sum(c) as n from k group by lang), size as (select count(distinct gram) as z from k),
+        l as (select conv_id, turn, regexp_extract_all(lower(t), '(?s).') as c from (select conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from conversations) where length(t) >= 8),
+        lg as (select conv_id, turn, gram, count(*) as m from (select conv_id, turn, unnest({_GRAMS}) as gram from l) group by all),
+        s as (select conv_id, turn, t.lang, sum(m * (ln(coalesce(k.c, 0) + 1) - ln(t.n + z))) as s from lg join (select distinct gram from k) using (gram) cross join totals t cross join size left join k on k.gram = lg.gram and k.lang = t.lang group by all),
+        e as (select *, exp(s - max(s) over (partition by conv_id, turn)) as e from s), p as (select conv_id, lang, e / sum(e) over (partition by conv_id, turn) as p from e), q as (select conv_id, lang as code, sum(p) as p from p group by all)
+        select conv_id, code, round(p / sum(p) over (partition by conv_id), 4) as confidence, row_number() over (partition by conv_id order by p desc, code)::int as position from q""",
 }

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from tillroll.functions import amounts, dates, labels, metrics
 from tillroll.functions.base import numbered
-from tillroll.operators import envelope, extraction, fuzzy, matrix, recognition, scoring, tagging
-from tillroll.operators.layout import reading_order
+from tillroll.functions import base, keywords
+from tillroll.operators import envelope, extraction, fuzzy, matrix, recognition, scan, scoring, tagging
+from tillroll.operators.layout import overlapping_pairs, reading_order
 from tillroll.operators.receipts import date_in_form, order_items, receipts, table
 
 
@@ -67,8 +68,9 @@ def merchant_payment_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_items_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = receipts(spark, sf_dir).select("o_orderkey", F.slice("lines", 4, F.greatest(F.size("lines") - 3, F.lit(0))).alias("lines"))
-    return extraction.exploded_items(r, ["o_orderkey"]).select("o_orderkey", "description", "quantity", "unit_price", "item_total", "status")
+    """Items of whole receipts; by the rules a merchant or nation with a number in its name reads as one."""
+    r = receipts(spark, sf_dir).select("o_orderkey", "lines")
+    return extraction.exploded_items(r, ["o_orderkey"]).select("o_orderkey", "line", "description", "quantity", "quantity_status", "unit_price", "item_total", "status")
 
 
 def item_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +110,25 @@ def dominant_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.array_join("scripts", ",").alias("scripts"), F.size("runs").cast("long").alias("n_runs"), "rtl")
 
 
+def document_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs and scripts of every whole text."""
+    d = tagging.tag_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.array_join("scripts", ",").alias("scripts"), F.size("runs").cast("long").alias("n_runs"), F.get("runs", F.lit(0))["end"].alias("first_end"), "rtl")
+
+
+def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of texts with a word of totals or taxes, first and all."""
+    n = table(spark, sf_dir, "documents").select("doc_id", base.numbered(F.split("text", "\n")).alias("n"))
+    found = n.select("doc_id", base.all_lines(F.col("n"), keywords.TOTAL + keywords.TAX + keywords.DISCOUNT).alias("f"), base.first(F.col("n"), lambda x: base.contains_any(x["l"], ("licen", "password", "token")))["i"].alias("first_word"))
+    return found.select("doc_id", F.size("f").cast("long").alias("n_lines"), F.get("f", F.lit(0)).alias("first_line"), F.array_join(F.col("f").cast("array<string>"), ",").alias("lines"), "first_word")
+
+
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's different lines, in order of their first."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l"))
+    return d.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.sha2(F.array_join("l", "\n"), 256).alias("lines_sha256"))
+
+
 def script_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same runs from one row for each character."""
     from tillroll.functions.scripts import char_script
@@ -131,14 +152,13 @@ def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names, joined fuzzily within blocks of an equal first word; copies count, they aren't paired.
-
-    The block is part of this query's SQL and loses pairs; ``fuzzy_names_whole`` has all.
-    """
-    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n")).withColumn("block", F.split("name", " ")[0])
-    other = names.select("block", F.col("name").alias("other"), F.col("n").alias("m"))
-    near = names.join(other, "block").where((F.col("name") != F.col("other")) & metrics.fuzzy_match(F.col("name"), F.col("other")))
-    return near.groupBy("name").agg(F.count("*").alias("n_near"), F.sum("m").alias("n_rows"))
+    """Part names with a letter lost, joined fuzzily to the true ones: how many each is like, and the best."""
+    names = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    at = (F.col("p_partkey") % F.length("name")).cast("int")
+    lost = names.select(F.concat(F.expr("substring(name, 1, cast(p_partkey % length(name) as int))"), F.substring("name", at + 2, F.length("name"))).alias("name")).distinct()
+    near = fuzzy.fuzzy_join(lost, names, "name")
+    best = F.min(F.struct(F.levenshtein(F.lower("a"), F.lower("b")).alias("d"), "b"))["b"]
+    return near.groupBy(F.col("a").alias("name")).agg(F.count("*").alias("n_near"), best.alias("best"))
 
 
 def fuzzy_names_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,9 +211,53 @@ def reading_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("l_orderkey", F.array_join(F.transform(reading_order(F.col("b")), lambda i: F.get("b", i)["l_linenumber"].cast("string")), ",").alias("numbers"))
 
 
+def row_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an order's boxes that share a row, by an interval join."""
+    box = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), (F.col("l_partkey") % 90 * 1.0).alias("y"), (F.col("l_linenumber") % 4 * 15.0).alias("height"))
+    pairs = overlapping_pairs(box, box, ["l_orderkey"]).where(F.col("id") < F.col("other"))
+    return pairs.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(F.col("id.l_linenumber") * 10 + F.col("other.l_linenumber")).cast("long").alias("numbers"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = lambda t, i: F.struct(t.alias("text"), F.lit(10.0).alias("x"), (i * 30.0).alias("y"), F.lit(50.0).alias("width"), F.lit(20.0).alias("height"), F.lit(0.9).alias("confidence"), F.lit("ok").alias("status"))
+    return scan.scan(receipts(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.transform("lines", box).alias("lines")))
+
+
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = extraction.extract_fields(receipts(spark, sf_dir).select("o_orderkey", "lines"))
-    return f.select("o_orderkey", envelope.fields_json(F.col("fields")).alias("fields"))
+    """What is found in the envelopes of scanned receipts."""
+    found = lambda path: F.get_json_object("result", f"$.{path}")
+    return _scanned(spark, sf_dir).select(
+        "doc_id", F.array_join(F.json_object_keys("result"), ",").alias("keys"), F.sha2(found("full_text"), 256).alias("full_text_sha256"), F.json_array_length(found("text_lines")).cast("long").alias("n_lines"), found("text_lines[2].bbox.y").cast("double").alias("y"),
+        found("text_lines[0].script").alias("first_script"), found("text_lines[2].script").alias("date_script"), found("scripts[0]").alias("script"), found("fields.total.value").cast("double").alias("total"), found("fields.total.status").alias("total_status"),
+        found("fields.total.evidence.text_line_indices[0]").cast("int").alias("total_line"), found("fields.date.value").alias("date"), found("fields.discounts").alias("discounts"), found("fields.merchant.value").alias("merchant"), found("mode").alias("mode"),
+    )
+
+
+def envelope_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned receipts and damaged ones against the schema."""
+    from tillroll.sources.catalog import check_values
+
+    r, k = F.col("result"), F.col("doc_id") % 6
+    damaged = F.when(k == 0, r).when(k == 1, F.regexp_replace(r, '"mode":"auto"', '"mode":"slow"')).when(k == 2, F.regexp_replace(r, '"status":"ok","script"', '"status":"odd","script"')).when(k == 3, F.substring(r, 1, 40)).when(k == 4, F.regexp_replace(r, '"schema_version":"[^"]*",', "")).otherwise(envelope.error_json(F.lit("OCR_FAILED"), F.when(F.col("doc_id") % 4 == 1, "no")))
+    docs = _scanned(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.when(k == 5, "-error").otherwise("")).alias("name"), damaged.alias("content"))
+    return check_values(docs).select("name", F.array_join("problems", ",").alias("problems"))
+
+
+def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats, sizes and loader errors of headers made from parts' numbers."""
+    from tillroll.images.stage import from_content
+
+    p = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") * 37) % 30_000).cast("int").alias("w"), (F.col("p_size") * 200).cast("int").alias("h"))
+    big = lambda c, n: F.lpad(F.hex(F.col(c)), 2 * n, "0")
+    little = lambda c, n: F.concat(*(F.substring(big(c, n), 2 * n - 2 * k - 1, 2) for k in range(n)))
+    less = p.withColumns({"w1": F.greatest(F.col("w") - 1, F.lit(0)), "h1": F.col("h") - 1})
+    k = F.col("p_partkey") % 7
+    made = (
+        F.when(k == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big("w", 4), big("h", 4), F.lit("0802000000"))).when(k == 1, F.concat(F.lit("424D" + "00" * 16), little("w", 4), little("h", 4), F.lit("01001800")))
+        .when(k == 2, F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), big("h", 2), big("w", 2), F.lit("03012200021101031101"))).when(k == 3, F.concat(F.lit("49492A00080000000200000104000100000"), F.lit("0"), little("w", 4), F.lit("0101040001000000"), little("h", 4)))
+        .when(k == 4, F.concat(F.lit("52494646000000005745425056503858" + "0A00000000000000"), little("w1", 3), little("h1", 3))).when(k == 5, F.concat(F.lit("474946383961"), little("w", 2), little("h", 2))).otherwise("68656C6C6F")
+    )
+    return from_content(less.select("p_partkey", F.unhex(made).alias("content"))).select("p_partkey", "format", "width", "height", "error")
 
 
 # ---- benchmark cases and the language matrix ----
@@ -256,7 +320,7 @@ def top_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (receipt_render, totals_by_nation, labeled_amounts, inferred_total, dates_times, currency_vote, merchant_payment_number, line_items_exploded, item_totals, amount_tokens, amount_parse, line_stats, dominant_script, script_windows, document_languages, char_error_rate, fuzzy_names, fuzzy_names_whole, words_to_lines, escalate_select, quality_gate, error_codes, reading_order_rows, result_json, case_plan, accuracy_breakdown, accuracy_overall, accuracy_grouping_sets, score_cases, backend_codes, matrix_filter, matrix_sets, top_languages)
+    for f in (receipt_render, totals_by_nation, labeled_amounts, inferred_total, dates_times, currency_vote, merchant_payment_number, line_items_exploded, item_totals, amount_tokens, amount_parse, line_stats, dominant_script, document_scripts, keyword_lines, dedup_first, script_windows, document_languages, char_error_rate, fuzzy_names, fuzzy_names_whole, words_to_lines, escalate_select, quality_gate, error_codes, reading_order_rows, row_overlaps, result_json, envelope_problems, image_headers, case_plan, accuracy_breakdown, accuracy_overall, accuracy_grouping_sets, score_cases, backend_codes, matrix_filter, matrix_sets, top_languages)
 }
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import glob
 import importlib.util
-import json
 import os
+import platform
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import scoring
+from tillroll.operators import envelope, scoring
 from tillroll.operators.synth import ENGINES
 
 #: What a result must have, and an error.
-RESULT_KEYS = ("schema_version", "engine", "engine_version", "mode", "image", "processing_time_ms", "languages", "scripts", "full_text", "text_lines", "warnings", "fields")
+RESULT_KEYS = envelope.KEYS
 ERROR_KEYS = ("schema_version", "error")
 
 
@@ -37,6 +38,15 @@ def cache_dir(environment: dict[str, str] | None = None) -> str:
     return env.get("TILLROLL_CACHE") or os.path.join(env.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache"), "tillroll")
 
 
+def model_files(language: str, environment: dict[str, str] | None = None, system: tuple[str, ...] = ("/usr/share/tessdata", "/usr/share/tesseract-ocr/5/tessdata")) -> list[str]:
+    """Model files of a language in the cache and the system's folders; without one an error names the folders."""
+    folders = [os.path.join(cache_dir(environment), "models"), *system]
+    found = [p for folder in folders for p in sorted(glob.glob(os.path.join(glob.escape(folder), f"{glob.escape(language)}.traineddata")))]
+    if not found:
+        raise FileNotFoundError(f"MODEL_NOT_FOUND: no model of '{language}' in {', '.join(folders)}")
+    return found
+
+
 def cache_info(spark: SparkSession, path: str) -> DataFrame:
     """Number and total size of the files below a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
@@ -68,6 +78,34 @@ def check_documents(docs: DataFrame, name_col: str = "name", json_col: str = "co
     return docs.select(name_col, (F.size(missing) == 0).alias("valid"), missing.alias("missing"))
 
 
-def show_json(df: DataFrame) -> str:
-    """The rows of a small frame as indented JSON, characters kept."""
-    return json.dumps([json.loads(x) for x in df.toJSON().collect()], indent=2, ensure_ascii=False)
+_RESULT = """struct<schema_version:string,engine:string,mode:string,image:struct<width:double,height:double,format:string>,processing_time_ms:double,languages:array<struct<code:string,confidence:double>>,scripts:array<string>,
+    full_text:string,text_lines:array<struct<text:string,bbox:struct<x:double,y:double,width:double,height:double>,confidence:double,status:string>>,warnings:array<string>,fields:map<string,string>>"""
+
+
+def check_values(docs: DataFrame, name_col: str = "name", json_col: str = "content") -> DataFrame:
+    """(name, problems): which values of a result's JSON its schema doesn't allow, sorted; errors are checked for a code and a message.
+
+    A document that is no JSON has the problem ``json``.
+    """
+    r = F.from_json(F.col(json_col), _RESULT)
+    share = lambda c: c.isNull() | c.between(0, 1)
+    lines, langs, image = r["text_lines"], r["languages"], r["image"]
+    rules = {
+        "schema_version": r["schema_version"].rlike(r"^[0-9]+[.][0-9]+[.][0-9]+$"), "mode": r["mode"].isin(*envelope.MODES), "image": (image["width"] >= 0) & (image["height"] >= 0) & image["format"].isNotNull(),
+        "processing_time_ms": r["processing_time_ms"] >= 0, "languages": F.forall(langs, lambda x: x["code"].isNotNull() & x["confidence"].between(0, 1)), "scripts": F.forall(r["scripts"], lambda x: x.rlike("^[A-Z][a-z]{3}$")),
+        "full_text": r["full_text"].isNotNull(), "warnings": r["warnings"].isNotNull(), "fields": r["fields"].isNotNull(),
+        "text_lines": F.forall(lines, lambda x: x["text"].isNotNull() & (x["bbox"]["width"] >= 0) & (x["bbox"]["height"] >= 0) & share(x["confidence"]) & (x["status"].isNull() | x["status"].isin(*envelope.STATUSES))),
+    }
+    e = F.from_json(F.col(json_col), "struct<schema_version:string,error:struct<code:string,message:string>>")
+    failing = lambda checks: F.array_sort(F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()))))
+    errors = {"code": e["error"]["code"].rlike("^[A-Z_]+$"), "message": e["error"]["message"].isNotNull()}
+    bad = F.when(F.contains(name_col, F.lit("error")), failing(errors)).otherwise(failing(rules))
+    return docs.select(name_col, F.when(F.json_object_keys(json_col).isNull(), F.array(F.lit("json"))).otherwise(bad).alias("problems"))
+
+
+def doctor(spark: SparkSession, environment: dict[str, str] | None = None) -> DataFrame:
+    """One row: the versions in use, which backends are available, and whether the cache's variable is set (not its value)."""
+    env = os.environ if environment is None else environment
+    have = capabilities(spark).where("available").agg(F.array_sort(F.collect_list("name")).alias("backends"))
+    facts = [spark.version, platform.python_version(), "TILLROLL_CACHE" in env, os.path.isdir(cache_dir(env))]
+    return have.select(*(F.lit(v).alias(n) for n, v in zip(("spark", "python", "cache_set", "cache_exists"), facts, strict=True)), "backends")
