@@ -116,6 +116,8 @@ def from_content(rows: DataFrame, content_col: str = "content") -> DataFrame:
 def decode(content: bytes) -> np.ndarray:
     """Gray or RGB pixels of a PNG (8 bits a channel, not interlaced) or an uncompressed BMP; ValueError for others."""
     kind, w, h = header(content)
+    if w is None or h is None or len(content) < 34:
+        raise ValueError("decode_failed")
     if kind == "PNG":
         return _png(content, w, h)
     if kind == "BMP":
