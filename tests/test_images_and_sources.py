@@ -55,6 +55,10 @@ def test_skew_and_perspective():
     scene[30:170, 30:130] = 240
     found = pixels.document_corners(scene)
     assert found is not None and np.abs(found - [[30, 30], [129, 30], [129, 169], [30, 169]]).max() <= 2 and pixels.document_corners(PAGE) is None
+    y, x = np.mgrid[:160, :160]
+    assert pixels.document_corners(np.where((x - 80) ** 2 + (y - 80) ** 2 < 60**2, 240, 30).astype(np.uint8)) is None
+    tilted = pixels.document_corners(pixels.warp(scene, pixels.homography(np.array([[0, 0], [159, 0], [159, 199], [0, 199]]), np.array([[8, 5], [150, 0], [159, 190], [0, 199]])), 200, 160))
+    assert tilted is not None
     assert (pixels.order_corners(found[[2, 0, 3, 1]]) == found).all() and pixels.correct_perspective(scene, found).mean() > 220
 
 

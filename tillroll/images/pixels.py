@@ -214,7 +214,10 @@ def warp(a: np.ndarray, back: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def document_corners(a: np.ndarray) -> np.ndarray | None:
-    """Corners of a bright sheet on a darker ground that covers at least a fifth of the picture, or None."""
+    """Corners of a bright sheet on a darker ground that covers at least a fifth of the picture, or None.
+
+    The sheet must be a quadrilateral: nearly all that is bright lies between its four extremes.
+    """
     g = to_grayscale(a)
     level = otsu(g)
     dark, light = g[g <= level], g[g > level]
@@ -225,7 +228,14 @@ def document_corners(a: np.ndarray) -> np.ndarray | None:
     if (edge > level).mean() > 0.5 or len(ys) < 0.2 * g.size:
         return None
     p = np.column_stack([xs, ys]).astype(float)
-    return order_corners(np.array([p[p.sum(1).argmin()], p[p.sum(1).argmax()], p[(p[:, 1] - p[:, 0]).argmin()], p[(p[:, 1] - p[:, 0]).argmax()]]))
+    corners = order_corners(np.array([p[p.sum(1).argmin()], p[p.sum(1).argmax()], p[(p[:, 1] - p[:, 0]).argmin()], p[(p[:, 1] - p[:, 0]).argmax()]]))
+    inside = np.ones(len(p), bool)
+    for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True):
+        along = b - a
+        if not (reach := np.hypot(*along)):
+            return None
+        inside &= (along[0] * (p[:, 1] - a[1]) - along[1] * (p[:, 0] - a[0])) / reach >= -2  # two pixels of play
+    return corners if inside.mean() > 0.97 else None
 
 
 def correct_perspective(a: np.ndarray, corners: np.ndarray) -> np.ndarray:
