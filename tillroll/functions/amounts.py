@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tillroll.functions import keywords
 from tillroll.functions.base import NUMBER, contains_any, field, first, let, missing, strip, union_of
 
+#: Tokens that amount_value takes as they are.
+_SIMPLE = r"^[0-9]+([.][0-9]{1,2})?\z"
 _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -37,7 +39,8 @@ def amount_value(token: Column) -> Column:
         )
         return let(plain, _number)
 
-    return let(F.replace(strip(token), F.lit(" "), F.lit("")), read)
+    full = lambda t: let(F.replace(strip(t), F.lit(" "), F.lit("")), read)
+    return let(token, lambda t: F.when(t.rlike(_SIMPLE), t.try_cast("double")).otherwise(full(t)))
 
 
 def parse_amount(token: Column) -> Column:

@@ -51,7 +51,9 @@ def strip(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w.lower())) for w in words))
+    """Whether the text has one of the words; a word that contains another one tells nothing more."""
+    low = list(dict.fromkeys(w.lower() for w in words))
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in low if not any(v in w for v in low if v != w)))
 
 
 def first(lines: Column, test) -> Column:

@@ -13,6 +13,8 @@ NUMERIC = r"(?U)\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})\b"
 NAMED = r"(?U)\b(\d{1,2})\s+([A-Za-z]+)\.?\s+(\d{2,4})\b|\b([A-Za-z]+)\.?\s+(\d{1,2}),?\s+(\d{2,4})\b"
 TIME = r"(?U)\b(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])?\b"
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
+#: What a lower-cased line with a date has at least: a cheap test before the patterns.  Beyond ASCII they decide alone.
+_MAYBE = r"[^\x00-\x7F]|[0-9][/.\-][0-9]{1,2}[/.\-][0-9]|(?:" + "|".join(MONTHS) + r")[a-z]*\.?\s+[0-9]"
 
 
 def _group(text: Column, pattern: str, k: int) -> Column:
@@ -67,7 +69,7 @@ def _of_line(x: Column) -> Column:
         )
 
     numeric = let(_parts(a=_group(t, NUMERIC, 1), b=_group(t, NUMERIC, 2), y=let(_group(t, NUMERIC, 3), _full)), either)
-    return F.when(t.rlike(ISO), iso).when(t.rlike(NAMED), named).when(t.rlike(NUMERIC), numeric)
+    return F.when(x["l"].rlike(_MAYBE), F.when(t.rlike(ISO), iso).when(t.rlike(NAMED), named).when(t.rlike(NUMERIC), numeric))
 
 
 def date(lines: Column) -> Column:
@@ -85,7 +87,7 @@ def _time_of_line(x: Column) -> Column:
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
     parts = _parts(h=_group(t, TIME, 1), m=_group(t, TIME, 2), s=F.coalesce(_group(t, TIME, 3), F.lit(0)), half=F.lower(F.regexp_extract(t, TIME, 4)))
     whole = lambda p: let(_parts(h=read(p), m=p["m"], s=p["s"]), lambda q: F.when(q["h"].isNotNull() & (q["m"] <= 59) & (q["s"] <= 59), field("ok", F.concat_ws(":", two(q["h"]), two(q["m"]), two(q["s"])), confidence=0.85, evidence=F.array(x["i"]))))
-    return F.when(t.rlike(TIME), let(parts, whole))
+    return F.when(F.contains(t, F.lit(":")) & t.rlike(TIME), let(parts, whole))
 
 
 def time_of_day(lines: Column) -> Column:

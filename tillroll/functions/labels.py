@@ -12,10 +12,10 @@ _CODE = r"(?U)\b(" + "|".join(keywords.CURRENCY_CODES) + r")\b"
 _VALUE = r"(?U)[:#]?\s*([A-Za-z0-9][A-Za-z0-9\-/]{2,})\s*$"
 
 
-def _hits(lines: Column, marks: tuple[tuple[str, object], ...]) -> Column:
-    """(code, line) of every mark a line has, lines and marks in order."""
+def _hits(lines: Column, marks: tuple[tuple[str, object], ...], some: str) -> Column:
+    """(code, line) of every mark a line has, lines and marks in order; lines with a mark match some."""
     of_line = lambda x: F.array_compact(F.array(*(F.when(F.contains(x["t"], F.lit(mark)), F.struct(F.lit(code if isinstance(code, str) else ",".join(code)).alias("code"), x["i"].alias("i"))) for mark, code in marks)))
-    return F.flatten(F.transform(lines, of_line))
+    return F.flatten(F.transform(F.filter(lines, lambda x: x["t"].rlike(some)), of_line))
 
 
 def _vote(hits: Column) -> Column:
@@ -31,8 +31,8 @@ def _vote(hits: Column) -> Column:
 
 def currency(lines: Column) -> Column:
     """A code beats a sign, a sign of one currency a shared one."""
-    code = _vote(F.filter(F.transform(lines, lambda x: F.struct(F.regexp_extract(x["t"], _CODE, 1).alias("code"), x["i"].alias("i"))), lambda h: h["code"] != ""))
-    sign, shared = _vote(_hits(lines, keywords.DOLLARS + keywords.SIGNS)), _vote(_hits(lines, keywords.SHARED_SIGNS))
+    code = _vote(F.filter(F.transform(F.filter(lines, lambda x: x["t"].rlike("[A-Z]{3}")), lambda x: F.struct(F.regexp_extract(x["t"], _CODE, 1).alias("code"), x["i"].alias("i"))), lambda h: h["code"] != ""))
+    sign, shared = _vote(_hits(lines, keywords.DOLLARS + keywords.SIGNS, r"[$]|[^\x00-\x7F]")), _vote(_hits(lines, keywords.SHARED_SIGNS, r"Rs|[^\x00-\x7F]"))
     found = let(code, lambda c: F.when(c.isNotNull(), field("ok", c["code"], confidence=0.95, evidence=c["evidence"])))
     signed = let(sign, lambda c: F.when(c.isNotNull(), field("ok", c["code"], confidence=0.85, evidence=c["evidence"])))
     open_ = let(shared, lambda c: F.when(c.isNotNull(), field("uncertain", candidates=F.split(c["code"], ","), confidence=0.3, evidence=c["evidence"])))
@@ -43,8 +43,7 @@ def merchant(lines: Column) -> Column:
     """Of the first five lines, the first that is text and no heading; never more than a guess."""
 
     def names(x: Column) -> Column:
-        s = strip(x["t"])
-        return (F.length(s) >= 2) & ~s.rlike(r"(?U)^[\d\s\-.,:/]+$") & ~s.rlike(keywords.NOISE)
+        return let(strip(x["t"]), lambda s: (F.length(s) >= 2) & ~s.rlike(r"(?U)^[\d\s\-.,:/]+$") & ~s.rlike(keywords.NOISE))
 
     at = first(F.slice(lines, 1, 5), names)
     return let(at, lambda x: F.when(x.isNull(), missing()).otherwise(field("uncertain", strip(x["t"]), confidence=0.35, evidence=F.array(x["i"]))))

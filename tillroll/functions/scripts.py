@@ -27,14 +27,15 @@ def char_script(c: Column) -> Column:
 
 #: Stretches of characters of one kind: a script, common ones, or others.
 _TOKENS = r"(?U)" + "|".join([rf"\p{{Is{name}}}+" for name, _ in SCRIPTS] + [r"[\s\p{IsCommon}\p{IsInherited}]+", r"[^\s\p{IsCommon}\p{IsInherited}" + "".join(rf"\p{{Is{name}}}" for name, _ in SCRIPTS) + "]+"])
+_ASCII = r"^[\x00-\x7F]+\z"
 _PLAIN = r"(?U)^[\s\p{IsCommon}\p{IsInherited}\p{IsLatin}]*\p{IsLatin}[\s\p{IsCommon}\p{IsInherited}\p{IsLatin}]*$"
 
 
 def script_runs(text: Column) -> Column:
     """array<struct<script, start, end>>: common characters take the script before them, leading ones that after them.
 
-    A text of Latin and common characters is one run; others are folded stretch by stretch, and
-    the array of runs grows only where the script changes.
+    A text of Latin and common characters is one run, and so is one of ASCII characters; others are
+    folded stretch by stretch, and the array of runs grows only where the script changes.
     """
     none = F.array().cast("array<struct<script:string,start:int,end:int>>")
     text = F.coalesce(text, F.lit(""))
@@ -54,7 +55,8 @@ def script_runs(text: Column) -> Column:
 
     zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("script"), F.lit(0).alias("start"), none.alias("runs"))
     folded = F.aggregate(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), zero, step, closed)
-    return F.when(text.rlike(_PLAIN), F.array(F.struct(F.lit("Latn").alias("script"), F.lit(0).alias("start"), F.length(text).alias("end")))).otherwise(folded)
+    one = lambda script: F.array(F.struct(script.alias("script"), F.lit(0).alias("start"), F.length(text).alias("end")))
+    return F.when(text.rlike(_ASCII), one(F.when(text.rlike("[A-Za-z]"), "Latn").otherwise(COMMON))).when(text.rlike(_PLAIN), one(F.lit("Latn"))).otherwise(folded)
 
 
 def dominant_scripts(runs: Column, min_run_length: int = 1) -> Column:
@@ -64,7 +66,7 @@ def dominant_scripts(runs: Column, min_run_length: int = 1) -> Column:
         return F.transform(codes, lambda c, i: F.struct((-F.aggregate(F.filter(kept, lambda r: r["script"] == c), F.lit(0), lambda a, r: a + r["end"] - r["start"])).alias("n"), i.alias("i"), c.alias("c")))
 
     kept = F.filter(runs, lambda r: ~r["script"].isin(COMMON, UNKNOWN) & (r["end"] - r["start"] >= min_run_length))
-    return F.transform(F.array_sort(let(kept, counted)), lambda s: s["c"])
+    return let(kept, lambda k: F.when(F.size(k) < 2, F.transform(k, lambda r: r["script"])).otherwise(F.transform(F.sort_array(counted(k)), lambda s: s["c"])))
 
 
 def is_rtl(scripts: Column) -> Column:

@@ -31,8 +31,9 @@ def error_code(load: Column) -> Column:
 def _scalar(f: Column) -> Column:
     """status, value, confidence, evidence; absent parts are null and so left out of the JSON."""
     some = lambda a: F.when(F.size(a) > 0, a)
-    value = F.when(f["candidates"].isNotNull(), F.to_json(F.struct(f["candidates"].alias("candidates")))).when(f["num"].isNotNull(), F.to_json(F.struct(f["num"].alias("v")))).when(f["value"].isNotNull(), F.to_json(F.struct(f["value"].alias("v"))))
-    return F.when(f["status"] != "missing", F.struct(f["status"].alias("status"), F.try_parse_json(F.when(f["candidates"].isNotNull(), value).otherwise(F.regexp_extract(value, r"^\{\"v\":(.*)\}$", 1))).alias("value"), f["confidence"].alias("confidence"), F.when(F.size(f["evidence"]) > 0, F.struct(some(f["evidence"]).alias("text_line_indices"))).alias("evidence")))
+    num = f["num"].cast("string")  # parsed, so that 100.0 is 100; what is no JSON (Infinity) stays text
+    value = F.when(f["candidates"].isNotNull(), F.to_variant_object(F.struct(f["candidates"].alias("candidates")))).when(f["num"].isNotNull(), F.coalesce(F.try_parse_json(num), num.cast("variant"))).otherwise(f["value"].cast("variant"))
+    return F.when(f["status"] != "missing", F.struct(f["status"].alias("status"), value.alias("value"), f["confidence"].alias("confidence"), F.when(F.size(f["evidence"]) > 0, F.struct(some(f["evidence"]).alias("text_line_indices"))).alias("evidence")))
 
 
 def fields_json(fields: Column) -> Column:

@@ -12,12 +12,12 @@ from tillroll.functions.base import missing, numbered
 from tillroll.operators.layout import reading_order
 
 SCALARS = ("merchant", "merchant_address", "date", "time", "currency", "subtotal", "tax", "discounts", "total", "payment_method", "receipt_number")
+PARTS = ("status", "value", "num", "candidates", "confidence", "evidence")
 
 
-def _in_order(f: Column, order: Column | None) -> Column:
-    if order is None:
-        return f
-    return f.withField("evidence", F.transform(f["evidence"], lambda i: F.get(order, i)))
+def _in_order(f: Column, order: Column) -> Column:
+    """The field with lines as given; ``f`` is a column of its own, for each part reads it."""
+    return F.when(f.isNotNull(), F.struct(*(f[c].alias(c) for c in PARTS if c != "evidence"), F.transform(f["evidence"], lambda i: F.get(order, i)).alias("evidence")))
 
 
 @lru_cache(maxsize=4)
@@ -43,8 +43,7 @@ def extract_fields(df: DataFrame, lines_col: str = "lines", out_col: str = "fiel
     lines = F.col(lines_col)
     order = None
     if boxed:
-        rtl = F.transform(lines, lambda b: b["rtl"]) if "rtl" in kind.names else None
-        df = df.withColumn("_order", reading_order(lines, rtl))
+        df = df.withColumn("_order", reading_order(lines, "rtl" if "rtl" in kind.names else None))
         order = F.col("_order")
         df = df.withColumn("_lines", numbered(F.transform(order, lambda i: F.get(lines, i)["text"])))
     else:
@@ -52,10 +51,13 @@ def extract_fields(df: DataFrame, lines_col: str = "lines", out_col: str = "fiel
     sums, found, rows = _columns(df.sparkSession.sparkContext.applicationId)
     df = df.withColumns(sums)
     if order is not None:
+        own = [k for k in SCALARS if f"_{k}" not in sums or k == "total"]
+        df = df.withColumns({f"_found_{k}": found[k] for k in own})
+        found = {k: _in_order(F.col(f"_found_{k}" if k in own else f"_{k}"), order) for k in SCALARS}
         rows = F.transform(rows, lambda r: r.withField("line", F.get(order, r["line"])))
     # Order matters to nested pruning: each field stays a plain struct member.
-    df = df.withColumn(out_col, F.struct(*(_in_order(found[k], order).alias(k) for k in SCALARS), rows.alias("line_items")))
-    return df.drop("_lines", "_order", "_subtotal", "_tax", "_discounts", "_total")
+    df = df.withColumn(out_col, F.struct(*(found[k].alias(k) for k in SCALARS), rows.alias("line_items")))
+    return df.drop("_lines", "_order", "_subtotal", "_tax", "_discounts", "_total", *(f"_found_{k}" for k in SCALARS))
 
 
 def exploded_items(df: DataFrame, keep: list[str], lines_col: str = "lines") -> DataFrame:

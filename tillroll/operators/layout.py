@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.base import let
+
 
 def _overlaps(a: Column, b: Column) -> Column:
     """The vertical overlap is more than half of the lower height."""
@@ -12,16 +14,17 @@ def _overlaps(a: Column, b: Column) -> Column:
     return F.least(a["y"] + a["height"], b["y"] + b["height"]) - F.greatest(a["y"], b["y"]) > 0.5 * F.when(lower == 0, 1.0).otherwise(lower)
 
 
-def reading_order(boxes: Column, rtl: Column | None = None) -> Column:
+def reading_order(boxes: Column, rtl: Column | str | None = None) -> Column:
     """Indices of boxes (array<struct<x, y, width, height>>) in reading order.
 
     From top to bottom by centre, each box joins the first row whose last box it overlaps, or
-    begins a row; rows read from the left, or from the right if most of their boxes do.  Ties
-    keep the order of the array.
+    begins a row; rows read from the left, or from the right if most of their boxes do: ``rtl``
+    is an array of flags or the name of a box's own.  Ties keep the order of the array.  Where each
+    box begins below the one before, every row is one box and nothing is folded.
     """
-    flag = lambda i: F.lit(False) if rtl is None else F.coalesce(F.get(rtl, i), F.lit(False))
-    box = lambda b, i: F.struct((b["y"] + b["height"] / 2.0).cast("double").alias("c"), i.alias("i"), *(b[n].cast("double").alias(n) for n in ("x", "y", "width", "height")), flag(i).alias("rtl"))
-    ordered = F.array_sort(F.transform(boxes, box))
+    flag = lambda b, i: F.lit(False) if rtl is None else F.coalesce(b[rtl] if isinstance(rtl, str) else F.get(rtl, i), F.lit(False))
+    box = lambda b, i: F.struct((b["y"] + b["height"] / 2.0).cast("double").alias("c"), i.alias("i"), *(b[n].cast("double").alias(n) for n in ("x", "y", "width", "height")), flag(b, i).alias("rtl"))
+    ordered = F.sort_array(F.transform(boxes, box))
     none = F.array().cast("array<array<struct<c:double,i:int,x:double,y:double,width:double,height:double,rtl:boolean>>>")
 
     def place(rows: Column, b: Column) -> Column:
@@ -34,7 +37,11 @@ def reading_order(boxes: Column, rtl: Column | None = None) -> Column:
         keyed = F.transform(row, lambda b, k: F.struct(F.when(right, -b["x"]).otherwise(b["x"]).alias("x"), k.alias("k"), b["i"].alias("i")))
         return F.transform(F.array_sort(keyed), lambda b: b["i"])
 
-    return F.flatten(F.transform(F.aggregate(ordered, none, place), across))
+    def apart(bs: Column) -> Column:
+        below = lambda b, k: (b["height"] >= 0) & (F.abs(b["y"]) + b["height"] < float("inf")) & ((k == 0) | (b["y"] >= F.get(bs, k - 1)["y"] + F.get(bs, k - 1)["height"]))
+        return F.coalesce(F.forall(F.transform(bs, below), lambda x: x), F.lit(False))
+
+    return let(ordered, lambda bs: F.when(apart(bs), F.transform(bs, lambda b: b["i"])).otherwise(F.flatten(F.transform(F.aggregate(bs, none, place), across))))
 
 
 def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], band: float = 50.0) -> DataFrame:
