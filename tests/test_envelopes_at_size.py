@@ -48,3 +48,7 @@ def test_dates_of_all_forms_pass_the_cheap_test(spark):
     day, either = "2024-03-05", ["2024-03-05", "2024-05-03"]
     assert got["2024-3-5"] == got["٢٠٢٤-٠٣-٠٥"] == got["5 MAR 24"] == got["5 march. 2024"] == got["MAR. 5, 2024"] == got["5 Mar 2024"] == day
     assert got["5/3/2024 x"] == either and got["July\t4 1999"] == "1999-07-04" and got["25.12.2024"] == "2024-12-25" and got["anvil 12 1050.00"] is None and got["no"] is None and got["12-31"] is None
+
+
+def test_result_json_parses_a_text_once(spark):
+    assert calls(spark, "result_json", "from_json", "get_json_object") == [1, 0]

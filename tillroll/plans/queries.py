@@ -225,11 +225,15 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is found in the envelopes of scanned receipts."""
-    found = lambda path: F.get_json_object("result", f"$.{path}")
-    return _scanned(spark, sf_dir).select(
-        "doc_id", F.array_join(F.json_object_keys("result"), ",").alias("keys"), F.sha2(found("full_text"), 256).alias("full_text_sha256"), F.json_array_length(found("text_lines")).cast("long").alias("n_lines"), found("text_lines[2].bbox.y").cast("double").alias("y"),
-        found("text_lines[0].script").alias("first_script"), found("text_lines[2].script").alias("date_script"), found("scripts[0]").alias("script"), found("fields.total.value").cast("double").alias("total"), found("fields.total.status").alias("total_status"),
-        found("fields.total.evidence.text_line_indices[0]").cast("int").alias("total_line"), found("fields.date.value").alias("date"), found("fields.discounts").alias("discounts"), found("fields.merchant.value").alias("merchant"), found("mode").alias("mode"),
+    kind = """struct<mode:string,scripts:array<string>,full_text:string,text_lines:array<struct<bbox:struct<y:double>,script:string>>,
+        fields:struct<total:struct<value:double,status:string,evidence:struct<text_line_indices:array<int>>>,date:struct<value:string>,discounts:string,merchant:struct<value:string>>>"""
+    # One parse of the whole envelope: it is a column of its own, so that no path below parses again.
+    j = _scanned(spark, sf_dir).select("doc_id", F.json_object_keys("result").alias("keys"), F.from_json("result", kind).alias("j")).select("doc_id", "keys", "j.*")
+    line = lambda k: F.get("text_lines", F.lit(k))
+    return j.select(
+        "doc_id", F.array_join("keys", ",").alias("keys"), F.sha2("full_text", 256).alias("full_text_sha256"), F.array_size("text_lines").cast("long").alias("n_lines"), line(2)["bbox"]["y"].alias("y"),
+        line(0)["script"].alias("first_script"), line(2)["script"].alias("date_script"), F.get("scripts", F.lit(0)).alias("script"), F.col("fields.total.value").alias("total"), F.col("fields.total.status").alias("total_status"),
+        F.get("fields.total.evidence.text_line_indices", F.lit(0)).alias("total_line"), F.col("fields.date.value").alias("date"), F.col("fields.discounts").alias("discounts"), F.col("fields.merchant.value").alias("merchant"), "mode",
     )
 
 
