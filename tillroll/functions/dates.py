@@ -17,8 +17,13 @@ MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7,
 _MAYBE = r"[^\x00-\x7F]|[0-9][/.\-][0-9]{1,2}[/.\-][0-9]|(?:" + "|".join(MONTHS) + r")[a-z]*\.?\s+[0-9]"
 
 
+def _int(digits: Column) -> Column:
+    """A number, null for the empty text of a group that is absent: casting that raises an exception inside, which is slow."""
+    return F.nullif(plain_digits(digits), F.lit("")).try_cast("int")
+
+
 def _group(text: Column, pattern: str, k: int) -> Column:
-    return plain_digits(F.regexp_extract(text, pattern, k)).try_cast("int")
+    return _int(F.regexp_extract(text, pattern, k))
 
 
 def _valid(year: Column, month: Column, day: Column) -> Column:
@@ -55,8 +60,7 @@ def _of_line(x: Column) -> Column:
 
     day_first = F.regexp_extract(t, NAMED, 2) != ""
     pick = lambda a, b: F.when(day_first, F.regexp_extract(t, NAMED, a)).otherwise(F.regexp_extract(t, NAMED, b))
-    number = lambda c: plain_digits(c).try_cast("int")
-    named = let(_parts(y=let(number(pick(3, 6)), _full), m=let(F.lower(pick(2, 4)), month), d=number(pick(1, 5))), dated)
+    named = let(_parts(y=let(_int(pick(3, 6)), _full), m=let(F.lower(pick(2, 4)), month), d=_int(pick(1, 5))), dated)
 
     def either(p: Column) -> Column:
         a, b, y = p["a"], p["b"], p["y"]
